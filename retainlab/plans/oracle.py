@@ -28,54 +28,60 @@ def flag_sql(pred: str) -> str:
     return f"COALESCE(CAST(({pred}) AS INTEGER), 0)"
 
 
-STUDENTS = """
-lines_ AS (
+LINES_SQL = """lines_ AS (
   SELECT l_orderkey AS k, COUNT(*) AS n,
          CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty,
          CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS disc
   FROM lineitem GROUP BY l_orderkey
-),
-base_ AS (
+)"""
+
+ORDER_CUST_SQL = """oc_ AS (
   SELECT o.o_orderkey AS k, o.o_custkey AS ck, o.o_orderpriority AS pr,
          CAST(round(o.o_totalprice * 100) AS BIGINT) AS cents,
-         c.c_acctbal AS bal, c.c_nationkey AS nk, c.c_mktsegment AS seg, l.n, l.qty, l.disc
+         c.c_acctbal AS bal, c.c_nationkey AS nk, c.c_mktsegment AS seg
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN lines_ l ON l.k = o.o_orderkey
-),
+)"""
+
+# Per-column SQL of the student table (helpers k, ck, pr, cents, bal, nk, seg, n, qty, disc).
+COL_SQL = {
+    "student_id": "printf('STU_%08d', k)",
+    "age": "CAST(16 + k % 9 AS BIGINT)",
+    "gender": "CASE WHEN k % 25 = 0 THEN 'Other' WHEN k % 2 = 0 THEN 'Male' ELSE 'Female' END",
+    "family_income": "CASE WHEN bal < 3000 THEN 'Low' WHEN bal < 7000 THEN 'Medium' ELSE 'High' END",
+    "parent_education": "CASE WHEN nk % 4 = 0 THEN 'Primary' WHEN nk % 4 = 1 THEN 'Secondary' "
+                        "WHEN nk % 4 = 2 THEN 'Graduate' ELSE 'Postgraduate' END",
+    "family_size": "CAST(2 + ck % 6 AS BIGINT)",
+    "rural_urban": "CASE WHEN seg IN ('BUILDING', 'FURNITURE', 'MACHINERY') THEN 'Rural' ELSE 'Urban' END",
+    "first_generation": "CAST(nk % 10 < 3 AS INTEGER)",
+    "previous_grades": "CAST(40 + qty % 61 AS DOUBLE)",
+    "attendance_rate": "CAST(30 + (3 * disc + 11 * n + qty) % 71 AS DOUBLE)",
+    "extracurricular_activities": "CAST(n % 5 AS BIGINT)",
+    "study_hours_per_week": "CAST((3 * qty + disc) % 40 AS BIGINT)",
+    "subject_preferences": "CASE WHEN (qty + n) % 4 = 0 THEN 'Science' WHEN (qty + n) % 4 = 1 THEN 'Arts' "
+                           "WHEN (qty + n) % 4 = 2 THEN 'Commerce' ELSE 'Vocational' END",
+    "learning_disability": "CAST(disc % 10 = 0 AS INTEGER)",
+    "special_education_needs": "CAST(disc % 20 = 1 AS INTEGER)",
+    "scholarship_received": "CAST(pr IN ('1-URGENT', '2-HIGH') AS INTEGER)",
+    "scholarship_amount": "CAST(CASE WHEN cents % 10 < 4 THEN 1000 + cents % 9000 ELSE 0 END AS DOUBLE)",
+    "financial_aid": "CAST(cents % 10 >= 7 AS INTEGER)",
+    "work_study_program": "CAST(cents % 100 < 20 AS INTEGER)",
+    "part_time_job": "CAST(cents % 1000 < 250 AS INTEGER)",
+    "family_financial_support": "CASE WHEN cents % 7 < 2 THEN 'Low' WHEN cents % 7 < 5 THEN 'Medium' ELSE 'High' END",
+    "debt_amount": "CAST(cents % 50000 AS DOUBLE)",
+    "interview_score": "CAST((3 * cents + k) % 101 AS DOUBLE) / 10",
+    "motivation_level": "CASE WHEN (cents + k) % 10 < 2 THEN 'Low' WHEN (cents + k) % 10 < 7 THEN 'Medium' ELSE 'High' END",
+    "career_goals_clarity": "CAST(1 + (5 * cents + k) % 9 AS BIGINT)",
+    "emotional_stability": "CAST(1 + (cents + 7 * k) % 9 AS BIGINT)",
+    "peer_relationships": "CASE WHEN (cents + ck) % 20 < 3 THEN 'Poor' WHEN (cents + ck) % 20 < 13 THEN 'Average' ELSE 'Good' END",
+    "teacher_relationships": "CASE WHEN (7 * cents + ck) % 10 < 1 THEN 'Poor' WHEN (7 * cents + ck) % 10 < 5 THEN 'Average' ELSE 'Good' END",
+    "disciplinary_issues": "CAST((3 * k + ck) % 10 AS BIGINT)",
+}
+
+STUDENTS = LINES_SQL + ",\n" + ORDER_CUST_SQL + """,
 cols_ AS (
-  SELECT printf('STU_%08d', k) AS student_id,
-    CAST(16 + k % 9 AS BIGINT) AS age,
-    CASE WHEN k % 25 = 0 THEN 'Other' WHEN k % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender,
-    CASE WHEN bal < 3000 THEN 'Low' WHEN bal < 7000 THEN 'Medium' ELSE 'High' END AS family_income,
-    CASE WHEN nk % 4 = 0 THEN 'Primary' WHEN nk % 4 = 1 THEN 'Secondary'
-         WHEN nk % 4 = 2 THEN 'Graduate' ELSE 'Postgraduate' END AS parent_education,
-    CAST(2 + ck % 6 AS BIGINT) AS family_size,
-    CASE WHEN seg IN ('BUILDING', 'FURNITURE', 'MACHINERY') THEN 'Rural' ELSE 'Urban' END AS rural_urban,
-    CAST(nk % 10 < 3 AS INTEGER) AS first_generation,
-    CAST(40 + qty % 61 AS DOUBLE) AS previous_grades,
-    CAST(30 + (3 * disc + 11 * n + qty) % 71 AS DOUBLE) AS attendance_rate,
-    CAST(n % 5 AS BIGINT) AS extracurricular_activities,
-    CAST((3 * qty + disc) % 40 AS BIGINT) AS study_hours_per_week,
-    CASE WHEN (qty + n) % 4 = 0 THEN 'Science' WHEN (qty + n) % 4 = 1 THEN 'Arts'
-         WHEN (qty + n) % 4 = 2 THEN 'Commerce' ELSE 'Vocational' END AS subject_preferences,
-    CAST(disc % 10 = 0 AS INTEGER) AS learning_disability,
-    CAST(disc % 20 = 1 AS INTEGER) AS special_education_needs,
-    CAST(pr IN ('1-URGENT', '2-HIGH') AS INTEGER) AS scholarship_received,
-    CAST(CASE WHEN cents % 10 < 4 THEN 1000 + cents % 9000 ELSE 0 END AS DOUBLE) AS scholarship_amount,
-    CAST(cents % 10 >= 7 AS INTEGER) AS financial_aid,
-    CAST(cents % 100 < 20 AS INTEGER) AS work_study_program,
-    CAST(cents % 1000 < 250 AS INTEGER) AS part_time_job,
-    CASE WHEN cents % 7 < 2 THEN 'Low' WHEN cents % 7 < 5 THEN 'Medium' ELSE 'High' END AS family_financial_support,
-    CAST(cents % 50000 AS DOUBLE) AS debt_amount,
-    CAST((3 * cents + k) % 101 AS DOUBLE) / 10 AS interview_score,
-    CASE WHEN (cents + k) % 10 < 2 THEN 'Low' WHEN (cents + k) % 10 < 7 THEN 'Medium' ELSE 'High' END AS motivation_level,
-    CAST(1 + (5 * cents + k) % 9 AS BIGINT) AS career_goals_clarity,
-    CAST(1 + (cents + 7 * k) % 9 AS BIGINT) AS emotional_stability,
-    CASE WHEN (cents + ck) % 20 < 3 THEN 'Poor' WHEN (cents + ck) % 20 < 13 THEN 'Average' ELSE 'Good' END AS peer_relationships,
-    CASE WHEN (7 * cents + ck) % 10 < 1 THEN 'Poor' WHEN (7 * cents + ck) % 10 < 5 THEN 'Average' ELSE 'Good' END AS teacher_relationships,
-    CAST((3 * k + ck) % 10 AS BIGINT) AS disciplinary_issues,
+  SELECT """ + ",\n    ".join(f"{v} AS {k}" for k, v in COL_SQL.items()) + """,
     (31 * cents + 17 * k) % 21 - 10 AS noise_
-  FROM base_
+  FROM oc_ JOIN lines_ USING (k)
 ),
 students AS (
   SELECT * EXCLUDE (noise_),

@@ -27,16 +27,22 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6) + 0.0
-    if hasattr(v, "item"):
-        return _norm(v.item())
-    if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+    if hasattr(v, "item") and not isinstance(v, (list, tuple, dict)):
+        try:
+            v = v.item()
+        except (ValueError, AttributeError):
+            pass
+    if isinstance(v, bool):
+        return v
+    if isinstance(v, (int, float)):
+        f = float(v)
+        if math.isnan(f):
+            return None
+        return round(f, 6) + 0.0
+    if isinstance(v, (list, tuple)) or (hasattr(v, "tolist") and not isinstance(v, str)):
+        return tuple(_norm(x) for x in (v.tolist() if hasattr(v, "tolist") else v))
     if isinstance(v, dict):
         return tuple(sorted((k, _norm(x)) for k, x in v.items()))
     return v
@@ -46,8 +52,7 @@ def rows_of(pdf: pd.DataFrame) -> list[tuple]:
     cols = sorted(pdf.columns)
     out = []
     for rec in pdf[cols].itertuples(index=False, name=None):
-        out.append(tuple(_norm(x) if not (isinstance(x, float) and math.isnan(x)) else None
-                         for x in rec))
+        out.append(tuple(_norm(x) for x in rec))
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
