@@ -1,129 +1,170 @@
 """Distributed order statistics without a single-partition window.
 
-Running sums and row ranks over a *global* order are the classic trap: a
+Running sums and ranks over a *global* order are the classic trap: a
 ``Window.orderBy`` without ``partitionBy`` pulls every row into one task.
-Here the order is split into ranges instead:
-
-1. ``repartitionByRange(n, keys)`` -- Spark samples the keys and cuts them into
-   ``n`` contiguous, balanced ranges (keys must be a total order, so a hot
-   value cannot pin a whole range: callers pre-aggregate or add a tiebreaker);
-2. local running values inside each range (``row`` index from
-   ``monotonically_increasing_id`` after ``sortWithinPartitions`` -- no
-   shuffle -- or a window partitioned by the range id);
-3. one total per range -- a table with at most ``n`` rows, so its size is
-   bounded by the partition count we chose -- turned into exclusive offsets
-   and broadcast back.
-
-The range exchange is consumed twice (locals and totals); Spark reuses the
-same exchange (``ReusedExchange`` / AQE stage cache), and the range
-partitioner is fixed per shuffle dependency, so the range id is stable even
-when a lost stage is recomputed.
+Every helper here cuts the order into contiguous buckets, computes local
+running values per bucket with a window partitioned by the bucket, and adds
+per-bucket offsets from a small table (one row per bucket and group, so its
+size is bounded by the bucket count we choose).
+
+Bucket ids must be *deterministic*: the same row must land in the same bucket
+in the pass that computes local values and in the pass that computes bucket
+totals, even when a stage is recomputed after an executor loss.  So buckets
+are never taken from ``spark_partition_id`` of a sampled range exchange:
+
+* hash-ordered keys (seeded shuffles) use a prefix of the hash itself;
+* numeric keys use boundaries computed once (``approxQuantile``, collected as
+  a bounded list) and applied with ``Bucketizer`` (a binary search in the JVM);
+* arbitrary orders (:func:`row_index`) materialise the range-partitioned rows
+  once with a reliable ``checkpoint`` in the shared checkpoint folder.
+
+Callers pre-aggregate to distinct keys where values repeat, so a value held
+by a third of all rows is one row here, not a hot bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from retainlab.session import ensure_checkpoint_dir
+
 _LOW_BITS = (1 << 33) - 1
 
-# Upper bound on ranges: the offsets table has at most this many rows per group.
-MAX_RANGES = 65536
+# Upper bound on buckets: offset tables have at most this many rows per group.
+MAX_BUCKETS = 65536
+# Hex digits of a hash prefix used as bucket (16**4 = 65536 buckets).
+HASH_DIGITS = 4
 
 
-def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
-    n = num_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(int(n), MAX_RANGES))
+def _num_buckets(df: DataFrame, n: int | None) -> int:
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(int(n), MAX_BUCKETS))
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _offsets(local: DataFrame, bucket: str, group: Sequence[str], values: dict[str, Column],
+             broadcast: bool) -> DataFrame:
+    """Join exclusive per-bucket offsets of ``values`` (within ``group``) onto ``local``."""
+    totals = local.groupBy(*group, bucket).agg(*[F.sum(v).alias(f"_tot_{k}") for k, v in values.items()])
+    # one row per (group, bucket): small by construction
+    wo = (W.partitionBy(*group).orderBy(bucket) if group else W.orderBy(bucket)) \
+        .rowsBetween(W.unboundedPreceding, -1)
+    # fresh names on the small side: it derives from ``local`` (self-join)
+    offsets = totals.select(*[F.col(g).alias(f"_og{i}") for i, g in enumerate(group)],
+                            F.col(bucket).alias("_ob"), *[
+        F.coalesce(F.sum(f"_tot_{k}").over(wo), F.lit(0)).alias(f"_off_{k}") for k in values])
+    cond = F.col(bucket) == F.col("_ob")
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_og{i}"))
+    right = F.broadcast(offsets) if broadcast else offsets
+    joined = local.join(right, cond)
+    return joined.select(*[F.col(c) for c in local.columns], *[F.col(f"_off_{k}") for k in values])
+
+
+def hash_rank(df: DataFrame, group: Sequence[str], hex_key: str, tiebreak: str,
+              name: str = "rank", digits: int = HASH_DIGITS, groups_bounded: bool = True) -> DataFrame:
+    """0-based rank inside ``group`` ordered by (``hex_key``, ``tiebreak``).
+
+    ``hex_key`` is a lowercase hex digest (uniform), so its first ``digits``
+    characters split every group into 16**digits balanced, order-preserving
+    buckets.  Adds ``name`` and ``{name}_group_size``.  The offsets table has
+    #groups x 16**digits rows; it is broadcast only when the caller vouches
+    that the groups are few (``groups_bounded``, e.g. a binary label: 2 x
+    65,536 rows, about 3 MB), otherwise joined by a shuffle.
+    """
+    bk = F.conv(F.substring(F.col(hex_key), 1, digits), 16, 10).cast("int")
+    b = df.withColumn("_bk", bk)
+    wl = W.partitionBy(*group, "_bk").orderBy(hex_key, tiebreak)
+    local = b.withColumn("_loc", F.row_number().over(wl) - 1)
+    small = groups_bounded
+    with_off = _offsets(local, "_bk", group, {"n": F.lit(1)}, small)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(f"{name}_group_size")) \
+        .select(*[F.col(g).alias(f"_sg{i}") for i, g in enumerate(group)], f"{name}_group_size")
+    cond = None
+    for i, g in enumerate(group):
+        c = F.col(g).eqNullSafe(F.col(f"_sg{i}"))
+        cond = c if cond is None else cond & c
+    out = with_off.join(F.broadcast(sizes) if small else sizes, cond) if group \
+        else with_off.join(sizes, how="inner")
+    return out.select(*[F.col(c) for c in df.columns],
+                      (F.col("_off_n") + F.col("_loc")).alias(name), F.col(f"{name}_group_size"))
+
+
 def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_index",
-              num_ranges: int | None = None) -> DataFrame:
-    """0-based global position of each row in ``order`` (must be a total order)."""
-    n = _num_ranges(df, num_ranges)
+              num_buckets: int | None = None) -> DataFrame:
+    """0-based global position of each row in ``order`` (must be a total order).
+
+    Rows are range-partitioned and sorted once, stamped with
+    ``monotonically_increasing_id`` (partition index in the high bits, position
+    in the low bits) and checkpointed to the shared folder, so both uses below
+    read the same stamped rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    n = _num_buckets(df, num_buckets)
     keys = _cols(order)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_rid", F.shiftright("_mid", 33)) \
+    stamped = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys) \
+        .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    ranged = stamped.withColumn("_bk", F.shiftright("_mid", 33)) \
         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-    totals = ranged.groupBy("_rid").agg(F.count(F.lit(1)).alias("_n"))
-    # <= n rows: one partition is fine, and the broadcast size is bounded by n.
-    wo = W.orderBy("_rid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_rid", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    out = ranged.join(F.broadcast(offsets), "_rid")
-    return out.select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_loc")).alias(name))
-
-
-def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
-               name: str = "rank", num_ranges: int | None = None,
-               group_bound: int = 1024) -> DataFrame:
-    """0-based rank inside ``group`` along ``order`` (group+order a total order).
-
-    Global index over (group, order) minus the start of the group.  The group
-    start table has one row per group; it is broadcast only when the number of
-    groups is below ``group_bound`` (checked with a count), otherwise joined.
+    # offsets: one row per range partition (<= n), broadcast is bounded by n.
+    out = _offsets(ranged, "_bk", [], {"n": F.lit(1)}, True)
+    return out.select(*[F.col(c) for c in df.columns], (F.col("_off_n") + F.col("_loc")).alias(name))
+
+
+def numeric_buckets(df: DataFrame, col: str, n: int, out: str = "_bk") -> DataFrame:
+    """Order-preserving bucket id of a numeric column from approximate quantiles.
+
+    The boundaries are computed once and passed to ``Bucketizer`` as literals,
+    so every later pass assigns identical buckets.
     """
-    idx = row_index(df, [*group, *order], "_gidx", num_ranges)
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_gn"))
-    wo = W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*group, F.coalesce(F.sum("_gn").over(wo), F.lit(0)).alias("_gstart"),
-                           "_gn")
-    small = counts.limit(group_bound + 1).count() <= group_bound
-    cond = [idx[g].eqNullSafe(starts[g]) for g in group]
-    right = F.broadcast(starts) if small else starts
-    out = idx.join(right, cond)
-    return out.select(*[idx[c] for c in df.columns], (F.col("_gidx") - F.col("_gstart")).alias(name),
-                      F.col("_gn").alias(f"{name}_group_size"))
-
-
-def prefix_sums(df: DataFrame, order: Sequence[str], values: Sequence[str],
-                group: Sequence[str] = (), prefix: str = "cum_",
-                num_ranges: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``values`` within ``group`` along ``order``.
-
-    ``group + order`` must identify rows (callers aggregate to distinct keys
-    first, which also removes skew from repeated values).
+    qs = df.approxQuantile(col, [i / n for i in range(1, n)], 1.0 / (4 * n)) if n > 1 else []
+    inner = sorted({float(q) for q in qs if q == q and q not in (float("inf"), float("-inf"))})
+    splits = [float("-inf"), *inner, float("inf")]
+    b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
+    return b.transform(df)
+
+
+def prefix_sums(df: DataFrame, order: str, values: Sequence[str], group: Sequence[str] = (),
+                prefix: str = "cum_", num_buckets: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``values`` within ``group`` along numeric ``order``.
+
+    ``group + order`` should identify rows (callers aggregate to distinct keys
+    first); ties in ``order`` inside a group are summed in arbitrary order.
     """
-    n = _num_ranges(df, num_ranges)
-    keys = [*group, *order]
-    ranged = df.repartitionByRange(n, *keys).withColumn("_rid", F.spark_partition_id())
-    wl = W.partitionBy("_rid").orderBy(*keys).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = ranged.select("*", *[F.sum(v).over(wl).alias(f"_loc_{v}") for v in values])
-    totals = ranged.groupBy(*group, "_rid").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    wo = W.partitionBy(*group).orderBy("_rid").rowsBetween(W.unboundedPreceding, -1) if group \
-        else W.orderBy("_rid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_rid", *[
-        F.coalesce(F.sum(f"_tot_{v}").over(wo), F.lit(0)).alias(f"_off_{v}") for v in values])
-    cond = [local["_rid"] == offsets["_rid"]] + [local[g].eqNullSafe(offsets[g]) for g in group]
-    # offsets has at most n + (#groups) rows; without groups that bound is ours.
-    right = offsets if group else F.broadcast(offsets)
-    out = local.join(right, cond)
-    return out.select(*[local[c] for c in df.columns], *[
-        (local[f"_loc_{v}"] + offsets[f"_off_{v}"]).alias(f"{prefix}{v}") for v in values])
+    n = _num_buckets(df, num_buckets)
+    b = numeric_buckets(df, order, n)
+    wl = W.partitionBy(*group, "_bk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = b.select("*", *[F.sum(v).over(wl).alias(f"_loc_{v}") for v in values])
+    with_off = _offsets(local, "_bk", group, {v: F.col(v) for v in values}, not group)
+    return with_off.select(*[F.col(c) for c in df.columns], *[
+        (F.col(f"_loc_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5,
-                    num_ranges: int | None = None) -> DataFrame:
+                    num_buckets: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantile of each column (NULLs skipped).
 
-    Returns ``(column STRING, value DOUBLE, n BIGINT)``.  Work is distributed:
-    values are counted per (column, value) with map-side partial aggregation
-    (a hot value collapses to one row), ranked with :func:`prefix_sums`, and
-    only the one or two rows straddling the target position are kept.
+    Returns ``(column STRING, value DOUBLE, n BIGINT)``.  Values are counted
+    per (column, value) with map-side partial aggregation (a hot value
+    collapses to one row), ranked with :func:`prefix_sums`, and only the one
+    or two rows straddling the target position are kept.
     """
     if not cols:
         raise ValueError("no columns")
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull())
+    ])).alias("kv")).select("kv.column", "kv.value").where(
+        F.col("value").isNotNull() & ~F.isnan("value"))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_sums(counts, ["value"], ["cnt"], group=["column"], num_ranges=num_ranges)
+    ranked = prefix_sums(counts, "value", ["cnt"], group=["column"], num_buckets=num_buckets)
     n = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
     pos = (F.col("n") - 1) * F.lit(q)
     lo, hi = F.floor(pos), F.ceil(pos)
