@@ -8,7 +8,7 @@ def all_queries():
     from retainlab.plans import q_scoring  # noqa: F401
     from retainlab.plans.registry import ORACLE, QUERIES
 
-    for mod in ("q_data", "q_prep", "q_models", "q_explain", "q_explore"):
+    for mod in ("q_data", "q_prep", "q_metrics", "q_models", "q_explain", "q_explore", "q_stream"):
         try:
             __import__(f"retainlab.plans.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

@@ -11,18 +11,20 @@ from retainlab.functions.label import dropout_points, rule_label
 from retainlab.operators import scoring as sc
 from retainlab.plans.oracle import FEATURES, SCORED, STUDENTS, d, with_
 from retainlab.plans.registry import query, round_doubles
-from retainlab.sources.fixture import students
+from retainlab.sources.fixture import memo_plan, students
 
 
 def features_df(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.engineer_features(students(spark, sf))
+    return memo_plan(spark, ("features", sf), lambda: fx.engineer_features(students(spark, sf)))
 
 
 def scored_df(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFrame:
     """Student features scored with the frozen logistic scorer (R3 + kept columns)."""
-    f = features_df(spark, sf)
-    p = sc.frozen_probability(f)
-    return sc.score_frame(f.withColumn("_p", p), "_p", keep=keep)
+    def build():
+        f = features_df(spark, sf)
+        p = sc.frozen_probability(f)
+        return sc.score_frame(f.withColumn("_p", p), "_p", keep=keep)
+    return memo_plan(spark, ("scored", sf, tuple(keep or ())), build)
 
 
 def _feat_sql(cols: list[str]) -> str:
