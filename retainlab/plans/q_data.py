@@ -89,7 +89,8 @@ def q_stage_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BATCH_SQL = "CAST(CAST(substr(student_id, 5) AS BIGINT) // 100 AS VARCHAR)"
-_BATCH = F.expr("cast(cast(substr(student_id, 5) as bigint) div 100 as string)")
+def _batch():
+    return F.expr("cast(cast(substr(student_id, 5) as bigint) div 100 as string)")
 
 
 @query("request_rows", with_(STUDENTS, body=f"""
@@ -97,7 +98,7 @@ SELECT {_BATCH_SQL} AS batch_id, * EXCLUDE (dropout_status) FROM students"""))
 def q_request_rows(spark: SparkSession, sf: str) -> DataFrame:
     """S3: students grouped into JSON request bodies (<= 100 per batch by key),
     then parsed back to rows with ``from_json`` + ``explode``."""
-    bodies = requests.build_requests(students(spark, sf), _BATCH)
+    bodies = requests.build_requests(students(spark, sf), _batch())
     return requests.request_rows(bodies)
 
 
@@ -264,7 +265,7 @@ SELECT {_BATCH_SQL} AS batch_id, COUNT(*) AS n_rows,
 FROM students GROUP BY 1"""))
 def q_contract_valid(spark: SparkSession, sf: str) -> DataFrame:
     """P7 with ``reject_batch``: a request batch is valid only if every record is."""
-    rows = requests.request_rows(requests.build_requests(students(spark, sf), _BATCH))
+    rows = requests.request_rows(requests.build_requests(students(spark, sf), _batch()))
     c = ct.check_contract(rows, "batch_id", reject_batch=True)
     return c.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                      F.bool_and("valid").alias("batch_valid"))
