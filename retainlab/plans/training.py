@@ -73,8 +73,10 @@ def evaluate_model(p: Prepared, name: str, cv: bool = True) -> DataFrame:
         def one(k):
             m = md.make_estimator(name, p.n_train).fit(train.where(F.col("fold") != k))
             return md.predict(m, train.where(F.col("fold") == k), keep=(ID, "label", "fold"))
-        # the five fold fits are independent Spark jobs: submit them concurrently
-        with ThreadPoolExecutor(max_workers=5) as pool:
+        # the fold fits are independent Spark jobs: submit light ones concurrently; tree
+        # ensembles hold per-node statistics in memory, so they run one at a time
+        heavy = name in ("Random Forest", "Gradient Boosting", "XGBoost")
+        with ThreadPoolExecutor(max_workers=1 if heavy else 5) as pool:
             folds = list(pool.map(one, range(5)))
         allf = folds[0]
         for x in folds[1:]:

@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # local mode runs everything in the driver JVM; ignored when the JVM already exists
+        "spark.driver.memory": os.environ.get("RETAINLAB_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
