@@ -137,3 +137,18 @@ def test_entry_runs(spark):
 
     rows = entry(spark).collect()
     assert rows and abs(sum(r["percentage"] for r in rows) - 100) < 0.05
+
+
+def test_stream_equals_batch(spark):
+    from retainlab.plans.q_scoring import scored_df
+    from retainlab.plans.q_stream import q_stream_batch_stats, q_stream_score
+
+    s = q_stream_score(spark, SF_SMALL).collect()
+    b = scored_df(spark, SF_SMALL).collect()
+    key = lambda r: r["student_id"]
+    assert len(s) == len(b)
+    for x, y in zip(sorted(s, key=key), sorted(b, key=key)):
+        assert x["student_id"] == y["student_id"] and x["risk_category"] == y["risk_category"]
+        assert x["dropout_probability"] == pytest.approx(y["dropout_probability"], abs=1e-6)
+    st = q_stream_batch_stats(spark, SF_SMALL).collect()
+    assert sum(r["total_students"] for r in st) == len(b)
