@@ -164,6 +164,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5,
     ])).alias("kv")).select("kv.column", "kv.value").where(
         F.col("value").isNotNull() & ~F.isnan("value"))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    # read three times below (sketch, running sums, totals): materialise the
+    # distinct-value table once in the shared folder instead of re-deriving the input
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint(eager=True)
     ranked = prefix_sums(counts, "value", ["cnt"], group=["column"], num_buckets=num_buckets)
     n = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
     pos = (F.col("n") - 1) * F.lit(q)
