@@ -1,8 +1,8 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-1. ``sketch``: the distinct word shingles of every whole text, a 128-bit key of the
-   set and a signature of ``K`` symbols of 16 bits (one per min-wise hash).  Equal
-   sets form a class, so copies cost one row.
+1. ``sketch``: the distinct word shingles of every whole text, a 64-bit key of the set
+   and a signature of ``K`` symbols of 16 bits (one per min-wise hash).  Equal sets form
+   a class, so copies cost one row.
 2. ``buckets``: the signature is split into chunks of four symbols.  By pigeonhole two
    signatures that differ in at most ``2 * chunks - 1`` symbols agree in some chunk but
    for one symbol, so each chunk is indexed four times with one symbol left out.  The
@@ -12,9 +12,11 @@
    the least member; confirmed links are contracted to components; only buckets that
    still span several components go to ``residual_pairs``, which compares signatures of
    members of different components in blocks of bounded size and emits those under the
-   signature distance.  Every pair under the distance is thus compared, or already
-   connected.
-4. ``confirm`` counts the common shingles of the whole sets of each candidate pair.
+   signature distance, each in one bucket only.  Every pair under the distance is thus
+   compared, or already connected.
+4. ``confirm`` counts the common shingles of the whole sets of candidate pairs, nearest
+   signatures first, leaving out pairs that confirmed links connect already.  Sets are
+   sent once per group of pairs (blocks of bounded size), not once per pair.
 
 Edge cases: null and empty texts (or texts without a word) have no shingle and link with
 nothing; a text with fewer words than a shingle is one shingle; equal rows share a class;
@@ -41,6 +43,7 @@ from retainlab.llm.textwords import (SPACE_SPLIT, U, column, mix, ngram_hashes,
 SYMBOLS = 4          # symbols of a chunk, one of which may differ
 MISS = 1e-6          # chance that a pair at the threshold is beyond the signature distance
 BLOCK = 1024         # members of a bucket that one task compares with as many others
+SET_BLOCK = 256      # whole sets that one task confirms against as many others
 
 
 def chunks_for(num: int, den: int) -> int:
@@ -84,12 +87,12 @@ def sketch(docs: DataFrame, shingle: int, chunks: int) -> DataFrame:
                 s, e, woff = words(buf, off, SPACE_SPLIT)
                 g, at = shingle_sets(word_hashes(buf, s, e), woff, shingle)
                 n = np.zeros(last - first, np.int64)
-                cls: list[bytes | None] = [None] * (last - first)
+                cls: list[int | None] = [None] * (last - first)
                 for k in range(last - first):
                     if at[k] < at[k + 1]:
                         own = _distinct(g[at[k]:at[k + 1]])
                         n[k] = len(own)
-                        cls[k] = np.array([mix(own).sum(), mix(own ^ salt[0]).sum() + U(len(own))], ">u8").tobytes()
+                        cls[k] = int(mix(mix(own).sum(keepdims=True) + U(len(own)))[0].astype(np.int64))
                 full = np.flatnonzero(n)
                 sig = np.empty((len(full), size), np.uint64)
                 for j in range(size):
@@ -110,12 +113,12 @@ def sketch(docs: DataFrame, shingle: int, chunks: int) -> DataFrame:
                     key_list[k], sig_list[k] = keys[i].astype(np.int64), sig[i].astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "doc_id").slice(first, last - first), column(batch, "_t").slice(first, last - first),
-                     pa.array(n), pa.array(cls, pa.binary()),
+                     pa.array(n), pa.array(cls, pa.int64()),
                      pa.array(key_list, pa.list_(pa.int64())), pa.array(sig_list, pa.binary())],
                     names=["doc_id", "_t", "n_shingles", "cls", "keys", "sig"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInArrow(
-        run, "doc_id long, _t long, n_shingles long, cls binary, keys array<long>, sig binary")
+        run, "doc_id long, _t long, n_shingles long, cls long, keys array<long>, sig binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -129,23 +132,32 @@ def star_pairs(bucket: DataFrame) -> DataFrame:
     return bucket.where("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return (a != b).sum(axis=-1) <= radius
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a != b).sum(axis=-1)
 
 
 def under_distance(pairs: DataFrame, classes: DataFrame, radius: int, num: int, den: int) -> DataFrame:
-    """Pairs whose signatures differ in at most ``radius`` symbols and whose sizes allow the threshold."""
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+    """(a, b, d): pairs with d <= ``radius`` differing symbols whose sizes allow the threshold."""
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
-            return pd.Series([], dtype=bool)
+            return pd.Series([], dtype="int32")
         x, y = (np.frombuffer(b"".join(v), "<u2").reshape(len(v), -1) for v in (a, b))
-        return pd.Series(_near(x, y, radius))
+        return pd.Series(_distance(x, y))
 
     one = classes.select(F.col("cls").alias("a"), F.col("sig").alias("_sa"), F.col("n_shingles").alias("_na"))
     two = classes.select(F.col("cls").alias("b"), F.col("sig").alias("_sb"), F.col("n_shingles").alias("_nb"))
     sizes = F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num
-    return pairs.join(one, "a").join(two, "b").where(sizes).where(near("_sa", "_sb")).select("a", "b")
+    return (pairs.join(one, "a").join(two, "b").where(sizes).select("a", "b", distance("_sa", "_sb").alias("d"))
+            .where(F.col("d") <= radius))
+
+
+def _first_bucket(same: np.ndarray) -> np.ndarray:
+    """Number of the first index bucket that two signatures share; ``same``: equal symbols, one row a pair."""
+    chunk = same.reshape(len(same), same.shape[1] // SYMBOLS, SYMBOLS)
+    c = (chunk.sum(axis=2) >= SYMBOLS - 1).argmax(axis=1)
+    own = chunk[np.arange(len(same)), c]
+    return c * SYMBOLS + np.where(own.all(axis=1), 0, own.argmin(axis=1))
 
 
 def residual_pairs(bucket: DataFrame, labels: DataFrame, classes: DataFrame, radius: int,
@@ -166,10 +178,10 @@ def residual_pairs(bucket: DataFrame, labels: DataFrame, classes: DataFrame, rad
     dealt = dealt.withColumns({"_i": F.least("block", "_o"), "_j": F.greatest("block", "_o")}).drop("_o")
 
     def run(group: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        cls, block = group.column("cls").to_pylist(), group.column("block").to_numpy()
+        out = []
+        cls, block = group.column("cls").to_numpy(), group.column("block").to_numpy()
         n = group.column("n_shingles").to_numpy()
-        comp = pd.factorize(pd.Series(group.column("comp").to_pylist()))[0]
+        comp, slot = group.column("comp").to_numpy(), group.column("key")[0].as_py() >> 48
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(cls), -1)
         two_blocks = block.min() != block.max()
         same_only = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
@@ -179,40 +191,84 @@ def residual_pairs(bucket: DataFrame, labels: DataFrame, classes: DataFrame, rad
             for i, k in enumerate(order):
                 rest = order[i + 1:top[i]]
                 rest = rest[(comp[rest] != comp[k]) & ((block[rest] != block[k]) if two_blocks else True)]
-                for r in rest[_near(sig[rest], sig[k], radius)]:
-                    a, b = sorted((cls[k], cls[r]))
-                    out_a.append(a)
-                    out_b.append(b)
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+                same = sig[rest] == sig[k]
+                d = same.shape[1] - same.sum(axis=1)
+                near = d <= radius
+                near[near] = _first_bucket(same[near]) == slot
+                out.append(np.stack([np.minimum(cls[k], cls[rest[near]]), np.maximum(cls[k], cls[rest[near]]), d[near]]))
+        cols = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pa.table({"a": cols[0], "b": cols[1], "d": cols[2].astype(np.int32)})
+
+    return dealt.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long, d int")
+
 
-    return dealt.groupBy("key", "_i", "_j").applyInArrow(run, "a binary, b binary").distinct()
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    z = np.sort(np.concatenate([x, y]))
+    return int((z[1:] == z[:-1]).sum())
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, member: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs with den * common >= num * united on the whole sets.
+    """Links (a, b) with den * common >= num * united on whole sets, enough of them to connect all linked classes.
 
-    ``member``: (cls, doc_id, _t: hash of the text) names one document of each class; only texts of classes in
-    ``pairs`` are read into sets.
+    ``pairs``: (a, b, d), materialised; ``member``: (cls, doc_id, _t: hash of the text) names one document of
+    each class, and only those texts are read into sets.  The classes of a connected set of pairs go to one
+    task with their sets, or to pairs of blocks of ``SET_BLOCK`` classes; small sets share a task.
     """
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    keys = member.join(wanted, "cls").select("cls", F.col("doc_id").alias("_d"), F.col("_t").alias("_k"))
+    label = components(pairs)
+    size = label.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    tasks = max(1, label.count() // SET_BLOCK)
+    node = label.join(size, "root").select(
+        F.col("node").alias("cls"), F.ceil(F.col("n") / SET_BLOCK).cast("int").alias("nb"),
+        F.when(F.col("n") <= SET_BLOCK, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")).alias("g"))
+    node = cut(node.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")))
+    at = ["g", "i", "j"]
+    left = (pairs.join(node.select(F.col("cls").alias("a"), "g", F.col("block").alias("_p")), "a")
+            .join(node.select(F.col("cls").alias("b"), F.col("block").alias("_q")), "b")
+            .select("g", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), "a", "b", "d"))
+    keys = member.join(node, "cls").select("cls", "g", "nb", "block", F.col("doc_id").alias("_d"), F.col("_t").alias("_k"))
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, buf, off in slices(column(batch, "text")):
                 s, e, woff = words(buf, off, SPACE_SPLIT)
-                g, at = shingle_sets(word_hashes(buf, s, e), woff, shingle)
-                own = [_distinct(g[at[k]:at[k + 1]]).astype(np.int64) for k in range(last - first)]
+                g, begin = shingle_sets(word_hashes(buf, s, e), woff, shingle)
+                own = [_distinct(g[begin[k]:begin[k + 1]]).astype(np.int64) for k in range(last - first)]
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "cls").slice(first, last - first), pa.array(own, pa.list_(pa.int64()))],
-                    names=["cls", "own"])
-
-    sets = texts.select("cls", "text").dropDuplicates(["cls"]).mapInArrow(run, "cls binary, own array<long>")
-    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("own").alias("_x")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("own").alias("_y")), "b"))
-    common = F.size(F.array_intersect("_x", "_y"))
-    return both.where(common * den >= (F.size("_x") + F.size("_y") - common) * num).select("a", "b")
+                    [column(batch, c).slice(first, last - first) for c in ("cls", "g", "nb", "block")]
+                    + [pa.array(own, pa.list_(pa.int64()))], names=["cls", "g", "nb", "block", "own"])
+
+    sets = (texts.select("cls", "g", "nb", "block", "text").dropDuplicates(["cls"])
+            .mapInArrow(draw, "cls long, g long, nb int, block int, own array<long>")
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("g", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "cls", "own"))
+
+    def check(pair: pa.Table, whole: pa.Table) -> pa.Table:
+        links = []
+        if pair.num_rows:
+            own = whole.column("own").combine_chunks()
+            value, begin = own.values.to_numpy(), own.offsets.to_numpy()
+            of = {c: value[begin[k]:begin[k + 1]] for k, c in enumerate(whole.column("cls").to_pylist())}
+            top: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while top.get(x, x) != x:
+                    top[x] = top.get(top[x], top[x])
+                    x = top[x]
+                return x
+
+            order = np.argsort(pair.column("d").to_numpy(), kind="stable")
+            for a, b in zip(pair.column("a").to_numpy()[order].tolist(), pair.column("b").to_numpy()[order].tolist()):
+                p, q = root(a), root(b)
+                if p != q:
+                    n = _common(of[a], of[b])
+                    if n * den >= (len(of[a]) + len(of[b]) - n) * num:
+                        top[p] = q
+                        links.append((a, b))
+        cols = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": cols[:, 0], "b": cols[:, 1]})
+
+    return left.groupBy(*at).cogroup(sets.groupBy(*at)).applyInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -230,14 +286,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     member = classes.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t"))
     bucket = cut(buckets(classes))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return confirm(cut(under_distance(pairs, classes, radius, num, den)), docs, member, shingle, num, den)
-
-    links = cut(linked(star_pairs(bucket)))
+    near = cut(under_distance(star_pairs(bucket), classes, radius, num, den))
+    links = cut(confirm(near, docs, member, shingle, num, den))
     label = components(links)
     labels = bucket.select("cls").distinct().join(label, F.col("cls") == F.col("node"), "left").select(
         "cls", F.coalesce("root", "cls").alias("comp"))
-    more = linked(residual_pairs(bucket, labels, classes, radius, num, den))
+    near = cut(residual_pairs(bucket, labels, classes, radius, num, den))
+    more = confirm(near, docs, member, shingle, num, den)
     label = components(links.unionByName(more))
     own = classes.select("cls", "min_id").join(label, F.col("cls") == F.col("node"))
     least = own.groupBy("root").agg(F.min("min_id").alias("least_id"))
