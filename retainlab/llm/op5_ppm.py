@@ -38,7 +38,7 @@ from retainlab.llm.runtime import cut
 from retainlab.llm.textwords import LOWER, SPACE_SPLIT, U, column, slices, word_hashes, words
 
 ORDER = 4
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 START, END = 0xFE, 0xFF   # bytes that UTF-8 never uses
 SYMBOLS = 255             # every byte value but START
 END_TOKEN = 0x0E4D        # hash of the end token
@@ -81,50 +81,55 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunked(docs: DataFrame, parts: int = 7, test: int = 2) -> DataFrame:
-    """(chunk, doc_id, held_out, text): rows dealt evenly to chunks of about CHUNK_BYTES."""
+    """(chunk, doc_id, held_out, text), dealt evenly by chunk, about CHUNK_BYTES of text in each."""
     src = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     size = src.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == test, F.lit(False))
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-size // CHUNK_BYTES)))
-    return src.select(chunk.alias("chunk"), "doc_id", held.alias("held_out"), "text")
+    chunks = -(-size // CHUNK_BYTES)
+    rows = src.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", held.alias("held_out"), "text")
+    # explicit, so that gathering and scoring read one and the same exchange
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(n, "chunk").sortWithinPartitions("chunk")
 
 
-def gather(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(chunk, kind, key, n): training counts of a chunk's grams (kind 0) and words (kind 1), 0 if only held out."""
+def gather(rows: DataFrame, order: int = ORDER, words_too: bool = True) -> DataFrame:
+    """(chunk, kind, key, n): training counts of a chunk's grams (kind 0) and words (kind 1), 0 if only held out.
+
+    Rows of a chunk follow one another; ``chunk`` may also be a constant, then every task adds up its own rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list]] = {}
+        held: list[list] = [[], []]
         chunk = None
 
         def flush():
             for kind, parts in enumerate(held):
-                key, n = _merge(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), chunk)), pa.array(np.full(len(key), kind, np.int8)), pa.array(key),
-                     pa.array(n)], names=["chunk", "kind", "key", "n"])
+                if parts:
+                    key, n = _merge(parts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(key), chunk, np.int64)), pa.array(np.full(len(key), kind, np.int8)),
+                         pa.array(key), pa.array(n)], names=["chunk", "kind", "key", "n"])
 
-        for batch in batches:  # rows come ordered by chunk
+        for batch in batches:
             chunks = column(batch, "chunk").to_numpy()
             for a, b in _runs(chunks):
                 if chunks[a] != chunk:
-                    if chunk is not None:
-                        yield from flush()
+                    yield from flush()
                     chunk, held = int(chunks[a]), [[], []]
                 part = batch.slice(a, b - a)
                 out = column(part, "held_out").to_numpy(zero_copy_only=False)
                 for first, last, buf, off in slices(column(part, "text")):
                     train = ~out[first:last]
-                    for kind, (key, at) in enumerate((grams(buf, off, order), _tokens(buf, off))):
+                    own = [grams(buf, off, order)] + ([_tokens(buf, off)] if words_too else [])
+                    for kind, (key, at) in enumerate(own):
                         mine = np.repeat(train, np.diff(at))
                         held[kind].append(_tally(key[mine]))
                         other = _tally(key[~mine])[0]
                         held[kind].append((other, np.zeros(len(other), np.int64)))
-                        if len(held[kind]) > 16:
+                        if len(held[kind]) > 32:
                             held[kind] = [_merge(held[kind])]
-        if chunk is not None:
-            yield from flush()
+        yield from flush()
 
-    dealt = rows.repartition("chunk").sortWithinPartitions("chunk")
-    return dealt.mapInArrow(run, "chunk long, kind byte, key long, n long")
+    return rows.mapInArrow(run, "chunk long, kind byte, key long, n long")
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -168,45 +173,60 @@ def trie(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return level.select("gram", value.alias("value"))
 
 
+def gram_counts(docs: DataFrame, order: int = ORDER, parts: int = 7, test: int = 2) -> DataFrame:
+    """(gram, n) of all texts: each task adds up what it scans, the shuffle adds up the tasks."""
+    held = F.coalesce(F.crc32(F.col("`doc_id`").cast("string").cast("binary")) % parts == test, F.lit(False))
+    rows = docs.select(F.lit(0).cast("long").alias("chunk"), held.alias("held_out"), F.col("`text`").alias("text"))
+    return gather(rows, order, words_too=False).groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n"))
+
+
 def score(docs: DataFrame, order: int = ORDER, parts: int = 7, test: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, one row per row of ``docs``."""
+    value = trie(cut(gram_counts(docs, order, parts, test)), order)
     rows = chunked(docs, parts, test)
-    seen = cut(gather(rows, order))
-    total = seen.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    word_total = cut(total.where("kind = 1").select("key", "n"))
-    n_train, vocab = word_total.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    gram_value = trie(cut(total.where("kind = 0").select(F.col("key").alias("gram"), "n")), order)
-    # known words have a positive value, unknown ones none: log10(c + 1) is 0 only for c = 0
-    value = (gram_value.select(F.lit(0).cast("byte").alias("kind"), F.col("gram").alias("key"), "value")
-             .unionByName(word_total.select(F.lit(1).cast("byte").alias("kind"), "key", F.log10(F.col("n") + 1).alias("value"))))
-    wanted = seen.select("chunk", "kind", "key").join(value, ["kind", "key"])
-    floor = float(np.log10(n_train + vocab + 1))
+    # Each chunk asks for its grams and words; one shuffle by key brings the answers together (a key has at most
+    # one row a chunk), a second one takes them back.  ``fresh`` marks one row of each training word.
+    asked = gather(rows, order).withColumn("value", F.lit(None).cast("double")).unionByName(value.select(
+        F.lit(None).cast("long").alias("chunk"), F.lit(0).cast("byte").alias("kind"), F.col("gram").alias("key"),
+        F.lit(0).cast("long").alias("n"), "value"))
+    same = Window.partitionBy("kind", "key")
+    total = F.sum("n").over(same)
+    answers = asked.select(
+        "chunk", "kind", "key",
+        F.when(F.col("kind") == 1, F.log10(total + 1)).otherwise(F.max("value").over(same)).alias("value"),
+        ((F.col("kind") == 1) & (total > 0) & (F.col("chunk") == F.min("chunk").over(same))).alias("fresh")
+    ).where("chunk IS NOT NULL")
 
     def run(text: pa.Table, need: pa.Table) -> pa.Table:
         kind, key, val = (need.column(c).to_numpy() for c in ("kind", "key", "value"))
-        order_of = np.argsort(key, kind="stable")
-        kind, key, val = kind[order_of], key[order_of], val[order_of]
+        by_key = np.argsort(key, kind="stable")
+        kind, key, val = kind[by_key], key[by_key], val[by_key]
         tables = [(key[kind == k], val[kind == k]) for k in (0, 1)]
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        for first, last, buf, off in slices(text.column("text")):
+        for _, _, buf, off in slices(text.column("text")):
             sums = []
             for (keys, vals), (own, at) in zip(tables, (grams(buf, off, order), _tokens(buf, off))):
                 u, inv = np.unique(own, return_inverse=True)
-                got = vals[np.searchsorted(keys, u)][inv]
-                sums.append((got, at))
-            (ppm, pa_at), (tok, tok_at) = sums
-            n = np.diff(tok_at)
-            base = np.add.reduceat(tok, tok_at[:-1]) - n * floor
-            for out, x in zip(cols, (n, np.add.reduceat((tok > 0).astype(np.int64), tok_at[:-1]), base,
-                                     np.add.reduceat(ppm, pa_at[:-1]), np.diff(off))):
+                sums.append((vals[np.searchsorted(keys, u)][inv], at))
+            (ppm, gram_at), (tok, tok_at) = sums
+            known = (tok > 0).astype(np.int64)  # log10(c + 1) is 0 only for c = 0
+            for out, x in zip(cols, (np.diff(tok_at), np.add.reduceat(known, tok_at[:-1]), np.add.reduceat(tok, tok_at[:-1]),
+                                     np.add.reduceat(ppm, gram_at[:-1]), np.diff(off))):
                 out.append(x)
         done = [np.concatenate(x) if x else np.zeros(0) for x in cols]
+        fresh = np.zeros(text.num_rows, np.int64)
+        if len(fresh):
+            fresh[0] = need.column("fresh").to_numpy().sum()
         return pa.table({"doc_id": text.column("doc_id"), "held_out": text.column("held_out"),
                          "n_tokens": pa.array(done[0], pa.int64()), "n_known": pa.array(done[1], pa.int64()),
-                         "train_tokens": pa.array(np.full(len(done[0]), n_train), pa.int64()),
-                         "base_score": pa.array(done[2], pa.float64()), "score": pa.array(done[3], pa.float64()),
-                         "n_bytes": pa.array(done[4], pa.int64())})
-
-    return (rows.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-             "score double, n_bytes long"))
+                         "_logs": pa.array(done[2], pa.float64()), "score": pa.array(done[3], pa.float64()),
+                         "n_bytes": pa.array(done[4], pa.int64()), "_fresh": fresh})
+
+    out = cut(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, _logs double, score double, n_bytes long, "
+             "_fresh long"))
+    n_train, vocab = out.agg(F.coalesce(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.lit(0)),
+                             F.coalesce(F.sum("_fresh"), F.lit(0))).first()
+    base = F.col("_logs") - F.col("n_tokens") * F.lit(float(np.log10(n_train + vocab + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
+                      base.alias("base_score"), "score", "n_bytes")
