@@ -272,7 +272,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, member: DataFrame, shingle: int,
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept (see the module text).
+    """Per document: doc_id, n_shingles, text_key (xxhash64 of the text), component_id, kept (see the module text).
 
     ``num / den`` is the least linked similarity.  Rows of equal doc_id and different text are different documents.
     """
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     moved = own.join(least, "root").select("cls", "least_id")
     ids = classes.select("cls", "min_id").join(moved, "cls", "left").select(
         "cls", F.coalesce("least_id", "min_id").alias("component_id"))
-    out = drawn.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left").select(
-        "doc_id", "n_shingles",
+    out = drawn.select("doc_id", "_t", "n_shingles", "cls").join(ids, "cls", "left").select(
+        "doc_id", "n_shingles", F.col("_t").alias("text_key"),
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

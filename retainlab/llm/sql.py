@@ -62,3 +62,31 @@ SELECT doc_id, coalesce(len(ws), 0)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT
   sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+_TURNS = "list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))"
+_RENDER = "list_transform({0}, lambda x : '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10))"
+
+
+def _mask(tail: str) -> str:
+    shown = _RENDER.format(tail)
+    before = f"(length(prompt) + length(array_to_string(({shown})[1:i - 1], '')))"
+    return (f"array_to_string(list_transform(list_filter(range(1, len({tail}) + 1), lambda i : {tail}[i].role = 'assistant'), lambda i : "
+            f"({before} + length({tail}[i].role) + 5)::VARCHAR || ':' || ({before} + length(({shown})[i]) - 1)::VARCHAR), ',')")
+
+
+OP2 = f"""
+WITH t AS (SELECT conv_id, {_TURNS} AS t FROM conversations GROUP BY conv_id),
+a AS (SELECT *, list_filter(range(1, len(t) + 1), lambda i : t[i].role = 'assistant') AS a FROM t),
+p AS (
+  SELECT conv_id, CASE WHEN len(a) = 0 THEN t ELSE t[1:a[-1]] END AS c,
+    CASE WHEN len(a) = 0 THEN t WHEN len(a) = 1 THEN t[1:a[1] - 1] ELSE list_concat(t[1:a[-1] - 1], [t[a[1]]]) END AS r FROM a),
+k AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i : c[i] <> r[i])) - 1, least(len(c), len(r))) AS n FROM p),
+s AS (
+  SELECT conv_id, n, CASE WHEN n = len(c) AND n = len(r) THEN 'identical' WHEN n = len(c) OR n = len(r) THEN 'prefix' ELSE 'pair' END AS status,
+    array_to_string({_RENDER.format('c[1:n]')}, '') AS prompt, c[n + 1:] AS c, r[n + 1:] AS r FROM k)
+SELECT conv_id, status, n::BIGINT AS n_prompt_turns, length(prompt)::BIGINT AS prompt_chars, sha256(prompt) AS prompt_sha256,
+  sha256(array_to_string({_RENDER.format('c')}, '')) AS chosen_sha256, sha256(array_to_string({_RENDER.format('r')}, '')) AS rejected_sha256,
+  {_mask('c')} AS chosen_mask, {_mask('r')} AS rejected_mask
+FROM s
+"""
