@@ -14,7 +14,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     large: both directions, the greater neighbours move; small: only edges to lesser
     nodes count, and the node itself moves with them.
     """
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     if not small:
         down = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = down.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -22,7 +22,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     if small:
         rest = moved.select(F.col("v").alias("a"), F.col("m").alias("b"))
         return rest.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
-    return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

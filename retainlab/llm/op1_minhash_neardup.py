@@ -9,14 +9,16 @@
    number of chunks is the least for which a pair at the similarity threshold exceeds
    that distance with probability below ``MISS``.
 3. Links are found without pairing a whole bucket.  ``star_pairs`` compares members with
-   the least member; confirmed links are contracted to components; only buckets that
-   still span several components go to ``residual_pairs``, which compares signatures of
-   members of different components in blocks of bounded size and emits those under the
-   signature distance, each in one bucket only.  Every pair under the distance is thus
-   compared, or already connected.
-4. ``confirm`` counts the common shingles of the whole sets of candidate pairs, nearest
-   signatures first, leaving out pairs that confirmed links connect already.  Sets are
-   sent once per group of pairs (blocks of bounded size), not once per pair.
+   the least member, ``confirm`` counts the common shingles of their whole sets, and
+   confirmed links are contracted to components.
+4. In the buckets that still span several components, ``cross_links`` compares the
+   signatures of members of different components, in blocks of bounded size.  A first
+   pass returns the members that have such a pair under the signature distance (each
+   pair counts in one bucket only); a second one gets their whole sets, confirms the
+   pairs where they are found, nearest first, and skips those that confirmed links
+   connect already.  Candidate pairs are never rows, so a large group of copies costs
+   rows in proportion to its members.  Every pair under the distance is thus confirmed,
+   refuted, or already connected.
 
 Edge cases: null and empty texts (or texts without a word) have no shingle and link with
 nothing; a text with fewer words than a shingle is one shingle; equal rows share a class;
@@ -43,7 +45,7 @@ from retainlab.llm.textwords import (SPACE_SPLIT, U, column, mix, ngram_hashes,
 SYMBOLS = 4          # symbols of a chunk, one of which may differ
 MISS = 1e-6          # chance that a pair at the threshold is beyond the signature distance
 BLOCK = 1024         # members of a bucket that one task compares with as many others
-SET_BLOCK = 256      # whole sets that one task confirms against as many others
+SET_BLOCK = 256      # members that are confirmed against one least member together
 
 
 def chunks_for(num: int, den: int) -> int:
@@ -129,7 +131,10 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def star_pairs(bucket: DataFrame) -> DataFrame:
-    return bucket.where("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
+    """(g, i, a, b): every member b and the least one a, in groups (g = a, i) of about SET_BLOCK."""
+    pairs = bucket.where("cls != lead").groupBy("lead", "cls").agg(F.max("size").alias("size"))
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / SET_BLOCK)).cast("int")
+    return pairs.select(F.col("lead").alias("g"), part.alias("i"), F.col("lead").alias("a"), F.col("cls").alias("b"))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,7 +142,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def under_distance(pairs: DataFrame, classes: DataFrame, radius: int, num: int, den: int) -> DataFrame:
-    """(a, b, d): pairs with d <= ``radius`` differing symbols whose sizes allow the threshold."""
+    """``pairs`` with d, the number of differing symbols, where d <= ``radius`` and the sizes allow the threshold."""
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
@@ -148,7 +153,7 @@ def under_distance(pairs: DataFrame, classes: DataFrame, radius: int, num: int,
     one = classes.select(F.col("cls").alias("a"), F.col("sig").alias("_sa"), F.col("n_shingles").alias("_na"))
     two = classes.select(F.col("cls").alias("b"), F.col("sig").alias("_sb"), F.col("n_shingles").alias("_nb"))
     sizes = F.least("_na", "_nb") * den >= F.greatest("_na", "_nb") * num
-    return (pairs.join(one, "a").join(two, "b").where(sizes).select("a", "b", distance("_sa", "_sb").alias("d"))
+    return (pairs.join(one, "a").join(two, "b").where(sizes).select(*pairs.columns, distance("_sa", "_sb").alias("d"))
             .where(F.col("d") <= radius))
 
 
@@ -160,46 +165,57 @@ def _first_bucket(same: np.ndarray) -> np.ndarray:
     return c * SYMBOLS + np.where(own.all(axis=1), 0, own.argmin(axis=1))
 
 
-def residual_pairs(bucket: DataFrame, labels: DataFrame, classes: DataFrame, radius: int,
-                   num: int, den: int) -> DataFrame:
-    """Pairs under the signature distance within buckets, of different components, not of the least member.
+def _block_pairs(group: pa.Table, radius: int, num: int, den: int) -> np.ndarray:
+    """Row numbers and distance (3, n) of the pairs of a block pair that are under the signature distance.
 
-    ``labels``: (cls, comp), one row per class of ``bucket``.  A bucket of more than ``BLOCK`` members is dealt
-    out as pairs of blocks, so a task holds at most two blocks.
+    Only pairs of different components whose sizes allow the threshold, and whose first common bucket this is.
     """
-    member = bucket.where("size > 2").join(labels, "cls")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    member = (member.join(mixed.select("key"), "key", "left_semi").where("cls != lead")
+    n, comp, block = (group.column(c).to_numpy() for c in ("n_shingles", "comp", "block"))
+    slot = group.column("g")[0].as_py() >> 48
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(n), -1)
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    order = np.argsort(n, kind="stable")
+    top = np.searchsorted(n[order] * num, n[order] * den, "right")  # sizes within the threshold
+    out = [np.zeros((3, 0), np.int64)]
+    for i, k in enumerate(order):
+        rest = order[i + 1:top[i]]
+        rest = rest[(comp[rest] != comp[k]) & ((block[rest] != block[k]) if across else True)]
+        same = sig[rest] == sig[k]
+        d = same.shape[1] - same.sum(axis=1)
+        near = d <= radius
+        near[near] = _first_bucket(same[near]) == slot
+        out.append(np.stack([np.full(near.sum(), k), rest[near], d[near]]))
+    return np.concatenate(out, axis=1)
+
+
+def cross_links(bucket: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, member: DataFrame, shingle: int,
+                radius: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) within buckets between different components, enough of them to connect all linked classes.
+
+    ``labels``: (cls, comp), one row per class of ``bucket``.  The least member is left out (``star_pairs`` has its
+    pairs).  A bucket of more than ``BLOCK`` members is dealt out as pairs of blocks, so a task holds two blocks at most.
+    """
+    inside = bucket.where("size > 2").join(labels, "cls")
+    mixed = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    inside = (inside.join(mixed.select("key"), "key", "left_semi").where("cls != lead")
               .join(classes.select("cls", "sig", "n_shingles"), "cls"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    dealt = member.select("key", "cls", "comp", "sig", "n_shingles", mine.alias("block"),
+    dealt = inside.select(F.col("key").alias("g"), "cls", "comp", "sig", "n_shingles",
+                          F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"),
                           F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
-    dealt = dealt.withColumns({"_i": F.least("block", "_o"), "_j": F.greatest("block", "_o")}).drop("_o")
-
-    def run(group: pa.Table) -> pa.Table:
-        out = []
-        cls, block = group.column("cls").to_numpy(), group.column("block").to_numpy()
-        n = group.column("n_shingles").to_numpy()
-        comp, slot = group.column("comp").to_numpy(), group.column("key")[0].as_py() >> 48
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(cls), -1)
-        two_blocks = block.min() != block.max()
-        same_only = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
-        if two_blocks or same_only:
-            order = np.argsort(n, kind="stable")
-            top = np.searchsorted(n[order] * num, n[order] * den, "right")  # sizes within the threshold
-            for i, k in enumerate(order):
-                rest = order[i + 1:top[i]]
-                rest = rest[(comp[rest] != comp[k]) & ((block[rest] != block[k]) if two_blocks else True)]
-                same = sig[rest] == sig[k]
-                d = same.shape[1] - same.sum(axis=1)
-                near = d <= radius
-                near[near] = _first_bucket(same[near]) == slot
-                out.append(np.stack([np.minimum(cls[k], cls[rest[near]]), np.maximum(cls[k], cls[rest[near]]), d[near]]))
-        cols = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.table({"a": cols[0], "b": cols[1], "d": cols[2].astype(np.int32)})
-
-    return dealt.groupBy("key", "_i", "_j").applyInArrow(run, "a long, b long, d int")
+    dealt = dealt.select("g", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"),
+                         "cls", "comp", "sig", "n_shingles", "block")
+
+    def paired(group: pa.Table) -> pa.Table:
+        return group.take(np.unique(_block_pairs(group, radius, num, den)[:2]))
+
+    def check(group: pa.Table) -> pa.Table:
+        found = _block_pairs(group, radius, num, den)
+        return _confirmed(group, found[:2, np.argsort(found[2], kind="stable")], num, den)
+
+    kept = cut(dealt.groupBy("g", "i", "j").applyInArrow(paired, dealt.schema))
+    sets = whole_sets(kept.select(F.col("cls").alias("_c")).distinct(), docs, member, shingle)
+    return kept.join(sets, F.col("cls") == F.col("_c")).drop("_c").groupBy("g", "i", "j").applyInArrow(check, "a long, b long")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -207,25 +223,37 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((z[1:] == z[:-1]).sum())
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, member: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) with den * common >= num * united on whole sets, enough of them to connect all linked classes.
+def _confirmed(group: pa.Table, pairs: np.ndarray, num: int, den: int) -> pa.Table:
+    """The pairs of row numbers that are linked on whole sets (``own``), without those connected by earlier ones."""
+    own, cls = group.column("own").combine_chunks(), group.column("cls").to_numpy()
+    value, begin = own.values.to_numpy(), own.offsets.to_numpy()
+    top = list(range(len(cls)))
+    links = []
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for a, b in pairs.T.tolist():
+        p, q = root(a), root(b)
+        if p != q:
+            x, y = value[begin[a]:begin[a + 1]], value[begin[b]:begin[b + 1]]
+            n = _common(x, y)
+            if n * den >= (len(x) + len(y) - n) * num:
+                top[p] = q
+                links.append((cls[a], cls[b]))
+    cols = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": cols[:, 0], "b": cols[:, 1]})
+
+
+def whole_sets(wanted: DataFrame, docs: DataFrame, member: DataFrame, shingle: int) -> DataFrame:
+    """(_c, own): the sorted shingle hashes of the classes in ``wanted`` (_c); only their texts are read into sets.
 
-    ``pairs``: (a, b, d), materialised; ``member``: (cls, doc_id, _t: hash of the text) names one document of
-    each class, and only those texts are read into sets.  The classes of a connected set of pairs go to one
-    task with their sets, or to pairs of blocks of ``SET_BLOCK`` classes; small sets share a task.
+    ``member``: (cls, doc_id, _t: hash of the text) names one document of each class.
     """
-    label = components(pairs)
-    size = label.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    tasks = max(1, label.count() // SET_BLOCK)
-    node = label.join(size, "root").select(
-        F.col("node").alias("cls"), F.ceil(F.col("n") / SET_BLOCK).cast("int").alias("nb"),
-        F.when(F.col("n") <= SET_BLOCK, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")).alias("g"))
-    node = cut(node.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")))
-    at = ["g", "i", "j"]
-    left = (pairs.join(node.select(F.col("cls").alias("a"), "g", F.col("block").alias("_p")), "a")
-            .join(node.select(F.col("cls").alias("b"), F.col("block").alias("_q")), "b")
-            .select("g", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j"), "a", "b", "d"))
-    keys = member.join(node, "cls").select("cls", "g", "nb", "block", F.col("doc_id").alias("_d"), F.col("_t").alias("_k"))
+    keys = member.join(wanted, F.col("cls") == F.col("_c")).select("_c", F.col("doc_id").alias("_d"), F.col("_t").alias("_k"))
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,40 +263,26 @@ def confirm(pairs: DataFrame, docs: DataFrame, member: DataFrame, shingle: int,
                 g, begin = shingle_sets(word_hashes(buf, s, e), woff, shingle)
                 own = [_distinct(g[begin[k]:begin[k + 1]]).astype(np.int64) for k in range(last - first)]
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, c).slice(first, last - first) for c in ("cls", "g", "nb", "block")]
-                    + [pa.array(own, pa.list_(pa.int64()))], names=["cls", "g", "nb", "block", "own"])
-
-    sets = (texts.select("cls", "g", "nb", "block", "text").dropDuplicates(["cls"])
-            .mapInArrow(draw, "cls long, g long, nb int, block int, own array<long>")
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("g", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "cls", "own"))
-
-    def check(pair: pa.Table, whole: pa.Table) -> pa.Table:
-        links = []
-        if pair.num_rows:
-            own = whole.column("own").combine_chunks()
-            value, begin = own.values.to_numpy(), own.offsets.to_numpy()
-            of = {c: value[begin[k]:begin[k + 1]] for k, c in enumerate(whole.column("cls").to_pylist())}
-            top: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while top.get(x, x) != x:
-                    top[x] = top.get(top[x], top[x])
-                    x = top[x]
-                return x
-
-            order = np.argsort(pair.column("d").to_numpy(), kind="stable")
-            for a, b in zip(pair.column("a").to_numpy()[order].tolist(), pair.column("b").to_numpy()[order].tolist()):
-                p, q = root(a), root(b)
-                if p != q:
-                    n = _common(of[a], of[b])
-                    if n * den >= (len(of[a]) + len(of[b]) - n) * num:
-                        top[p] = q
-                        links.append((a, b))
-        cols = np.array(links, np.int64).reshape(-1, 2)
-        return pa.table({"a": cols[:, 0], "b": cols[:, 1]})
-
-    return left.groupBy(*at).cogroup(sets.groupBy(*at)).applyInArrow(check, "a long, b long")
+                    [column(batch, "_c").slice(first, last - first), pa.array(own, pa.list_(pa.int64()))], names=["_c", "own"])
+
+    return texts.select("_c", "text").dropDuplicates(["_c"]).mapInArrow(draw, "_c long, own array<long>")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, member: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among star pairs (g, i, a, b, d), materialised: den * common >= num * united on whole sets.
+
+    The sets of a group's classes are sent to its task once, the least member's among them.
+    """
+    need = pairs.select("g", "i", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = whole_sets(need.select(F.col("cls").alias("_c")).distinct(), docs, member, shingle)
+
+    def check(group: pa.Table) -> pa.Table:
+        cls = group.column("cls").to_numpy()
+        lead = int(np.flatnonzero(cls == group.column("g")[0].as_py())[0])
+        rest = np.flatnonzero(np.arange(len(cls)) != lead)
+        return _confirmed(group, np.stack([np.full(len(rest), lead), rest]), num, den)
+
+    return need.join(sets, F.col("cls") == F.col("_c")).drop("_c").groupBy("g", "i").applyInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -289,10 +303,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     near = cut(under_distance(star_pairs(bucket), classes, radius, num, den))
     links = cut(confirm(near, docs, member, shingle, num, den))
     label = components(links)
+
     labels = bucket.select("cls").distinct().join(label, F.col("cls") == F.col("node"), "left").select(
         "cls", F.coalesce("root", "cls").alias("comp"))
-    near = cut(residual_pairs(bucket, labels, classes, radius, num, den))
-    more = confirm(near, docs, member, shingle, num, den)
+    more = cross_links(bucket, labels, classes, docs, member, shingle, radius, num, den)
     label = components(links.unionByName(more))
     own = classes.select("cls", "min_id").join(label, F.col("cls") == F.col("node"))
     least = own.groupBy("root").agg(F.min("min_id").alias("least_id"))

@@ -38,7 +38,7 @@ from retainlab.llm.runtime import cut
 from retainlab.llm.textwords import LOWER, SPACE_SPLIT, U, column, slices, word_hashes, words
 
 ORDER = 4
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 START, END = 0xFE, 0xFF   # bytes that UTF-8 never uses
 SYMBOLS = 255             # every byte value but START
 END_TOKEN = 0x0E4D        # hash of the end token
