@@ -125,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fit: int
 
     sample = training_sample(docs, labels, label, max_fit=max_fit)
     one = sample.repartition(1).sortWithinPartitions("_o", "text").select("label", "text")
-    return np.frombuffer(one.mapInArrow(run, "data binary").first()["data"], "<f8")
+    fitted = one.mapInArrow(run, "data binary").first()  # one row, or none of an empty sample
+    return np.frombuffer(fitted["data"], "<f8") if fitted else fit_bags(np.zeros(0, np.int64), [])
 
 
 def score(docs: DataFrame, weights: np.ndarray, flag: float = 0.5) -> DataFrame:

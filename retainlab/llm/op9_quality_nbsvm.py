@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit: i
 
     sample = training_sample(docs, labels, label, max_fit=max_fit)
     one = sample.repartition(1).sortWithinPartitions("_o", "text").select("label", "fold", "text")
-    return {r["name"]: np.frombuffer(r["data"], "<f8") for r in one.mapInArrow(run, "name string, data binary").collect()}
+    fitted = one.mapInArrow(run, "name string, data binary").collect()  # three rows, or none of an empty sample
+    return {r["name"]: np.frombuffer(r["data"], "<f8") for r in fitted} or fit_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), [])
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], keep: float = KEEP) -> DataFrame:
