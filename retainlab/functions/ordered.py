@@ -127,7 +127,8 @@ def numeric_buckets(df: DataFrame, col: str, n: int, out: str = "_bk") -> DataFr
     """
     qs = df.approxQuantile(col, [i / n for i in range(1, n)], 1.0 / (4 * n)) if n > 1 else []
     inner = sorted({float(q) for q in qs if q == q and q not in (float("inf"), float("-inf"))})
-    splits = [float("-inf"), *inner, float("inf")]
+    # without boundaries (empty, all null, one bucket) any single one will do
+    splits = [float("-inf"), *(inner or [0.0]), float("inf")]
     b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
     return b.transform(df)
 

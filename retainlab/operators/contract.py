@@ -55,8 +55,10 @@ def check_contract(df: DataFrame, batch_col: str | None = None, reject_batch: bo
     if reject_batch:
         if not batch_col:
             raise ValueError("reject_batch needs batch_col")
-        ok = out.groupBy(batch_col).agg(F.bool_and("valid").alias("batch_valid"))
-        out = out.join(ok, batch_col).withColumn("valid", F.col("batch_valid")).drop("batch_valid")
+        # rows without a batch id are a batch of their own: a null-safe join keeps them
+        ok = out.groupBy(F.col(batch_col).alias("_batch")).agg(F.bool_and("valid").alias("_batch_valid"))
+        out = out.join(ok, F.col(batch_col).eqNullSafe(F.col("_batch"))) \
+            .withColumn("valid", F.col("_batch_valid")).drop("_batch", "_batch_valid")
     return out
 
 

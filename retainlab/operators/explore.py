@@ -27,26 +27,24 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """V2: pairwise Pearson correlation (pairwise non-null), long form.
 
     Zero-variance columns give NULL instead of raising: their variance is read
-    in the same aggregate and the coefficient guarded.  All pairs are computed
-    in one ``agg`` (map-side partial moments), then unpivoted.
+    in the same aggregate and the coefficient guarded.  Each row is read once and
+    meets one aggregate buffer per pair; the moments combine before the shuffle, which
+    carries one row per pair and task, and the plan does not grow with the pairs.
     """
     cols = list(cols)
     if len(cols) < 2:  # V3: needs more than one numeric column
         raise ValueError("need at least two numeric columns")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        aggs += [F.covar_pop(xs, ys).alias(f"c{i}"), F.var_pop(xs).alias(f"vx{i}"),
-                 F.var_pop(ys).alias(f"vy{i}")]
-    row = df.agg(*aggs)
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        r = F.when((F.col(f"vx{i}") > 0) & (F.col(f"vy{i}") > 0),
-                   F.col(f"c{i}") / F.sqrt(F.col(f"vx{i}") * F.col(f"vy{i}")))
-        out.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r.alias("correlation")))
-        if a != b:
-            out.append(F.struct(F.lit(b).alias("feature_a"), F.lit(a).alias("feature_b"), r.alias("correlation")))
-    return row.select(F.explode(F.array(*out)).alias("e")).select("e.*")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    names = F.array(*[F.lit(c) for c in cols])
+    first, second = (F.array(*[F.lit(p[k]) for p in pairs]) for k in (0, 1))
+    wide = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("_v"))
+    long = wide.select("_v", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("_p"))
+    long = long.select("_p", F.col("_v")[first[F.col("_p")]].alias("_x"), F.col("_v")[second[F.col("_p")]].alias("_y"))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
+    m = long.groupBy("_p").agg(F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    a, b = names[first[F.col("_p")]], names[second[F.col("_p")]]
+    r = F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy")))
+    sides = F.array(F.struct(a.alias("feature_a"), b.alias("feature_b"), r.alias("correlation")),
+                    F.struct(b.alias("feature_a"), a.alias("feature_b"), r.alias("correlation")))
+    return m.select(F.explode(F.when(a == b, F.slice(sides, 1, 1)).otherwise(sides)).alias("e")).select("e.*")

@@ -115,7 +115,9 @@ def q_shap_dependence(spark: SparkSession, sf: str) -> DataFrame:
 
 CORR_COLS = ["age", "family_size", "previous_grades", "attendance_rate", "extracurricular_activities",
              "study_hours_per_week", "scholarship_amount", "debt_amount", "interview_score",
-             "career_goals_clarity", "emotional_stability", "disciplinary_issues", "dropout_status"]
+             "career_goals_clarity", "emotional_stability", "disciplinary_issues", "dropout_status",
+             "first_generation", "learning_disability", "special_education_needs", "scholarship_received",
+             "financial_aid", "work_study_program", "part_time_job"]
 
 
 @query("histogram", with_(STUDENTS, """mm_ AS (SELECT min(attendance_rate) AS lo, max(attendance_rate) AS hi FROM students)""",

@@ -55,6 +55,12 @@ SCORE_SCHEMA = T.StructType([
 ])
 
 
+def malformed_requests(bodies: DataFrame, body_col: str = "body") -> DataFrame:
+    """The bodies that ``request_rows`` gives no row for: not JSON, or without a list of students."""
+    parsed = F.from_json(F.col(body_col), REQUEST_SCHEMA)
+    return bodies.where(F.coalesce(F.size(parsed["students"]), F.lit(-1)) < 1)
+
+
 def request_rows(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     """S3: JSON request bodies -> one row per student (plus the batch id)."""
     parsed = bodies.select(F.from_json(F.col(body_col), REQUEST_SCHEMA).alias("r"))
