@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retainlab.llm.runtime import cut
+from retainlab.llm.runtime import cut, lean
 from retainlab.llm.textwords import column
 
 CAPACITY = 2048
@@ -100,6 +100,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: one row per piece of at most ``capacity`` tokens."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path or tokenizer_path())
         for batch in batches:
@@ -251,6 +252,7 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     base_key = np.array(sorted(base), np.int64)
     shared = spark.sparkContext.broadcast((blocks, base_key, np.array([base[k] for k in base_key.tolist()], np.int64)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, keys, first = shared.value
         for batch in batches:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retainlab.llm.components import components
-from retainlab.llm.runtime import cut
+from retainlab.llm.runtime import cut, lean
 from retainlab.llm.textwords import (SPACE_SPLIT, U, column, mix, ngram_hashes, slices, window_starts, word_hashes,
                                      words)
 
@@ -81,6 +81,7 @@ def sketch(docs: DataFrame, shingle: int, chunks: int) -> DataFrame:
     """(doc_id, _t, n_shingles, cls, keys, sig); cls, keys and sig are null for an empty set; _t hashes the text."""
     size = SYMBOLS * chunks
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, size + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
         odd = mix(salt) | U(1)
@@ -256,6 +257,7 @@ def whole_sets(wanted: DataFrame, docs: DataFrame, member: DataFrame, shingle: i
     keys = member.join(wanted, F.col("cls") == F.col("_c")).select("_c", F.col("doc_id").alias("_d"), F.col("_t").alias("_k"))
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")))
 
+    @lean
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, buf, off in slices(column(batch, "text")):

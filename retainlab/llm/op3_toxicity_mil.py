@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retainlab.llm.labelled import MAX_FIT, sigmoid, training_sample
-from retainlab.llm.runtime import fold_of
+from retainlab.llm.runtime import fold_of, lean
 from retainlab.llm.textwords import ALNUM_SPLIT, U, byte_table, column, mix, ngram_hashes, slices, word_hashes, words
 
 BITS = 18
@@ -114,6 +114,7 @@ def fit_bags(y: np.ndarray, bags: list[dict[str, np.ndarray]]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fit: int = MAX_FIT) -> np.ndarray:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, bags = [], []
         for batch in batches:
@@ -133,6 +134,7 @@ def score(docs: DataFrame, weights: np.ndarray, flag: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, n_offending, worst_start, worst_end (bytes), worst_score."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value[:DIMS], shared.value[DIMS]
         for batch in batches:

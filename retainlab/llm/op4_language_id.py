@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retainlab.llm.runtime import cut
+from retainlab.llm.runtime import cut, lean
 from retainlab.llm.textwords import LOWER, U, column, mix, slices
 
 BITS = 14
@@ -67,6 +67,7 @@ def code(col):
 
 def train_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram probabilities, from all documents with a language code."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -95,6 +96,7 @@ def text_evidence(pages: DataFrame, langs: list[str], logp: np.ndarray) -> DataF
     shared = pages.sparkSession.sparkContext.broadcast(logp)
     k = len(langs)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
@@ -135,6 +137,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         out = out.join(seen.groupBy(key).agg(sums.alias(f"n_{key}")), key)
     whole = seen.agg(sums.alias("n")).first()["n"] or [0.0] * k
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from retainlab.llm.runtime import cut
+from retainlab.llm.runtime import cut, lean
 from retainlab.llm.textwords import LOWER, SPACE_SPLIT, U, column, slices, word_hashes, words
 
 ORDER = 4
@@ -97,6 +97,7 @@ def gather(rows: DataFrame, order: int = ORDER, words_too: bool = True) -> DataF
 
     Rows of a chunk follow one another; ``chunk`` may also be a constant, then every task adds up its own rows.
     """
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], []]
         chunk = None

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retainlab.llm.runtime import cut
+from retainlab.llm.runtime import cut, lean
 from retainlab.llm.textwords import (SAME, SPACE_SPLIT, byte_table, column, ngram_hashes, slices, window_starts,
                                      word_hashes, words)
 
@@ -72,6 +72,7 @@ def document_rules(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """doc_id, host, the measures and base_failed, one row per row of ``docs``."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = column(batch, "text").to_pylist()

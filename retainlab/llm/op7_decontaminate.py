@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retainlab.llm.runtime import cut
+from retainlab.llm.runtime import cut, lean
 from retainlab.llm.textwords import (ALNUM_SPLIT, LOWER, column, ngram_hashes, slices, window_starts,
                                      word_hashes, words)
 
@@ -42,6 +42,7 @@ def _norm(buf: np.ndarray, s: np.ndarray, e: np.ndarray, first: int, n: int) ->
 
 def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     """Distinct windows of all items: (h, n, words, item_ids)."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = column(batch, "item_id").to_pylist()
@@ -107,6 +108,7 @@ def _shards(benchmark: DataFrame, n: int, max_broadcast: int) -> Iterator:
 
 
 def _scan_shard(docs: DataFrame, shared) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
@@ -182,6 +184,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcas
     """
     schema = docs.schema
     for shared in _shards(benchmark, n, max_broadcast):
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table = shared.value
             for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retainlab.llm.labelled import MAX_FIT, platt, sigmoid, training_sample
-from retainlab.llm.runtime import fold_of
+from retainlab.llm.runtime import fold_of, lean
 from retainlab.llm.textwords import SPACE_SPLIT, U, column, mix, ngram_hashes, slices, window_starts, word_hashes, words
 
 BITS = 18
@@ -129,6 +129,7 @@ def fit_rows(y: np.ndarray, fold: np.ndarray, parts: list[tuple[np.ndarray, np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit: int = MAX_FIT) -> dict[str, np.ndarray]:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, fold, parts = [], [], []
         for batch in batches:
@@ -156,6 +157,7 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], keep: float = KEEP, sc
     """``docs`` with two more columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, w, (slope, offset) = (shared.value[k] for k in ("ratio", "weight", "scale"))
         for batch in batches:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +18,46 @@ from retainlab.session import ensure_checkpoint_dir
 cloudpickle.register_pickle_by_value(sys.modules["retainlab"])
 
 
+#: most bytes of a record batch sent to a Python worker (a single longer row is a batch of its own)
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python in batches of bounded size; a size given with the submission stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for reused workers: a worker does not hold on to the memory peak of the tasks before."""
+    @functools.wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return outer
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and cut the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
