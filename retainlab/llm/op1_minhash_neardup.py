@@ -34,7 +34,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retainlab.llm.components import components
@@ -78,7 +78,7 @@ def _distinct(g: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int, chunks: int) -> DataFrame:
-    """(doc_id, _t, n_shingles, cls, keys, sig); cls, keys and sig are null for an empty set; _t hashes the text."""
+    """(doc_id, _t, n_shingles, cls, sig); cls and sig are null for an empty set; _t hashes the text."""
     size = SYMBOLS * chunks
 
     @lean
@@ -102,31 +102,32 @@ def sketch(docs: DataFrame, shingle: int, chunks: int) -> DataFrame:
                     if len(full):
                         sig[:, j] = np.minimum.reduceat((g ^ salt[j]) * odd[j], at[:-1][full])
                 sig = mix(sig) & U(0xFFFF)
-                keys = np.empty((len(full), size), np.uint64)
-                for c in range(chunks):
-                    for left_out in range(SYMBOLS):
-                        key = np.full(len(full), U(c * SYMBOLS + left_out))
-                        for j in range(SYMBOLS):
-                            if j != left_out:
-                                key = key << U(16) | sig[:, c * SYMBOLS + j]
-                        keys[:, c * SYMBOLS + left_out] = key
-                key_list: list = [None] * (last - first)
                 sig_list: list = [None] * (last - first)
                 for i, k in enumerate(full):
-                    key_list[k], sig_list[k] = keys[i].astype(np.int64), sig[i].astype("<u2").tobytes()
+                    sig_list[k] = sig[i].astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [column(batch, "doc_id").slice(first, last - first), column(batch, "_t").slice(first, last - first),
-                     pa.array(n), pa.array(cls, pa.int64()),
-                     pa.array(key_list, pa.list_(pa.int64())), pa.array(sig_list, pa.binary())],
-                    names=["doc_id", "_t", "n_shingles", "cls", "keys", "sig"])
+                     pa.array(n), pa.array(cls, pa.int64()), pa.array(sig_list, pa.binary())],
+                    names=["doc_id", "_t", "n_shingles", "cls", "sig"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_t")).mapInArrow(
-        run, "doc_id long, _t long, n_shingles long, cls long, keys array<long>, sig binary")
+        run, "doc_id long, _t long, n_shingles long, cls long, sig binary")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def bucket_keys(sig: str, chunks: int) -> Column:
+    """The index keys of a signature: slot (chunk, symbol left out) in the top 16 bits, the chunk's other symbols below."""
+    keys = []
+    for c in range(chunks):
+        at = 2 * SYMBOLS * c + 1
+        for k in range(SYMBOLS):
+            rest = F.concat(F.substring(sig, at, 2 * k), F.substring(sig, at + 2 * k + 2, 2 * (SYMBOLS - 1 - k)))
+            keys.append(F.conv(F.hex(rest), 16, 10).cast("long") + F.lit(c * SYMBOLS + k << 48))
+    return F.array(*keys)
+
+
+def buckets(classes: DataFrame, chunks: int) -> DataFrame:
     """(key, cls, lead, size): members of index buckets with at least two classes, and the least member."""
-    member = classes.select(F.explode("keys").alias("key"), "cls")
+    member = classes.select(F.explode(bucket_keys("sig", chunks)).alias("key"), "cls")
     lead = member.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return member.join(lead, "key")
 
@@ -212,11 +213,10 @@ def cross_links(bucket: DataFrame, labels: DataFrame, classes: DataFrame, docs:
 
     def check(group: pa.Table) -> pa.Table:
         found = _block_pairs(group, radius, num, den)
-        return _confirmed(group, found[:2, np.argsort(found[2], kind="stable")], num, den)
+        return _confirmed(group, found[:2, np.argsort(found[2], kind="stable")], shingle, num, den)
 
     kept = cut(dealt.groupBy("g", "i", "j").applyInArrow(paired, dealt.schema))
-    sets = whole_sets(kept.select(F.col("cls").alias("_c")).distinct(), docs, member, shingle)
-    return kept.join(sets, F.col("cls") == F.col("_c")).drop("_c").groupBy("g", "i", "j").applyInArrow(check, "a long, b long")
+    return with_texts(kept, docs, member).groupBy("g", "i", "j").applyInArrow(check, "a long, b long")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -224,10 +224,19 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((z[1:] == z[:-1]).sum())
 
 
-def _confirmed(group: pa.Table, pairs: np.ndarray, num: int, den: int) -> pa.Table:
-    """The pairs of row numbers that are linked on whole sets (``own``), without those connected by earlier ones."""
-    own, cls = group.column("own").combine_chunks(), group.column("cls").to_numpy()
-    value, begin = own.values.to_numpy(), own.offsets.to_numpy()
+def whole_sets(texts: pa.ChunkedArray, shingle: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of every text."""
+    out: list[np.ndarray] = []
+    for first, last, buf, off in slices(texts):
+        s, e, woff = words(buf, off, SPACE_SPLIT)
+        g, begin = shingle_sets(word_hashes(buf, s, e), woff, shingle)
+        out += [_distinct(g[begin[k]:begin[k + 1]]) for k in range(last - first)]
+    return out
+
+
+def _confirmed(group: pa.Table, pairs: np.ndarray, shingle: int, num: int, den: int) -> pa.Table:
+    """The pairs of row numbers that are linked on whole sets, without those connected by earlier ones."""
+    own, cls = whole_sets(group.column("text"), shingle), group.column("cls").to_numpy()
     top = list(range(len(cls)))
     links = []
 
@@ -240,7 +249,7 @@ def _confirmed(group: pa.Table, pairs: np.ndarray, num: int, den: int) -> pa.Tab
     for a, b in pairs.T.tolist():
         p, q = root(a), root(b)
         if p != q:
-            x, y = value[begin[a]:begin[a + 1]], value[begin[b]:begin[b + 1]]
+            x, y = own[a], own[b]
             n = _common(x, y)
             if n * den >= (len(x) + len(y) - n) * num:
                 top[p] = q
@@ -249,42 +258,33 @@ def _confirmed(group: pa.Table, pairs: np.ndarray, num: int, den: int) -> pa.Tab
     return pa.table({"a": cols[:, 0], "b": cols[:, 1]})
 
 
-def whole_sets(wanted: DataFrame, docs: DataFrame, member: DataFrame, shingle: int) -> DataFrame:
-    """(_c, own): the sorted shingle hashes of the classes in ``wanted`` (_c); only their texts are read into sets.
+def with_texts(need: DataFrame, docs: DataFrame, member: DataFrame) -> DataFrame:
+    """``need`` with the text of one document of each row's class (cls).
 
-    ``member``: (cls, doc_id, _t: hash of the text) names one document of each class.
+    ``member``: (cls, doc_id, _t: hash of the text) names that document.  Rows of ``docs`` are found by one hash of id
+    and text; the search, the removal of repeated rows and the join share its partitioning, so texts are dealt out once.
     """
-    keys = member.join(wanted, F.col("cls") == F.col("_c")).select("_c", F.col("doc_id").alias("_d"), F.col("_t").alias("_k"))
-    texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")))
-
-    @lean
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, buf, off in slices(column(batch, "text")):
-                s, e, woff = words(buf, off, SPACE_SPLIT)
-                g, begin = shingle_sets(word_hashes(buf, s, e), woff, shingle)
-                own = [_distinct(g[begin[k]:begin[k + 1]]).astype(np.int64) for k in range(last - first)]
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "_c").slice(first, last - first), pa.array(own, pa.list_(pa.int64()))], names=["_c", "own"])
-
-    return texts.select("_c", "text").dropDuplicates(["_c"]).mapInArrow(draw, "_c long, own array<long>")
+    own = member.select(F.col("cls").alias("_c"), F.xxhash64("doc_id", "_t").alias("_row"))
+    asked = need.join(own, F.col("cls") == F.col("_c")).drop("_c")
+    rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("_row"), "text")
+    texts = rows.join(asked.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"])
+    return asked.join(texts, "_row").drop("_row")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, member: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among star pairs (g, i, a, b, d), materialised: den * common >= num * united on whole sets.
 
-    The sets of a group's classes are sent to its task once, the least member's among them.
+    The texts of a group's classes are sent to its task once, the least member's among them.
     """
     need = pairs.select("g", "i", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = whole_sets(need.select(F.col("cls").alias("_c")).distinct(), docs, member, shingle)
 
     def check(group: pa.Table) -> pa.Table:
         cls = group.column("cls").to_numpy()
         lead = int(np.flatnonzero(cls == group.column("g")[0].as_py())[0])
         rest = np.flatnonzero(np.arange(len(cls)) != lead)
-        return _confirmed(group, np.stack([np.full(len(rest), lead), rest]), num, den)
+        return _confirmed(group, np.stack([np.full(len(rest), lead), rest]), shingle, num, den)
 
-    return need.join(sets, F.col("cls") == F.col("_c")).drop("_c").groupBy("g", "i").applyInArrow(check, "a long, b long")
+    return with_texts(need, docs, member).groupBy("g", "i").applyInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -298,9 +298,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     drawn = cut(sketch(docs, shingle, chunks))
     classes = cut(drawn.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("min_id"), F.min(F.struct("doc_id", "_t")).alias("rep"),
-        F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+        F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     member = classes.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep._t").alias("_t"))
-    bucket = cut(buckets(classes))
+    bucket = cut(buckets(classes, chunks))
 
     near = cut(under_distance(star_pairs(bucket), classes, radius, num, den))
     links = cut(confirm(near, docs, member, shingle, num, den))
