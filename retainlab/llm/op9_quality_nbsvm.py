@@ -76,8 +76,8 @@ def log_ratios(f: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = C, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (the bias last) that minimise |w|^2 / 2 + c * hinge losses; ``rows``: (features, values)."""
+def dual_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: float = C, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (the bias last) that minimise |w|^2 / 2 + c * hinge losses; ``rows``: the features of each text."""
     w, alpha = np.zeros(DIMS + 1), np.zeros(len(rows))
     sign = np.where(y == 1, 1.0, -1.0)
     rng = np.random.default_rng(0)
@@ -86,7 +86,8 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: fl
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i]
+            f = rows[i]
+            v = _scaled(f, ratio)
             grad = sign[i] * (w[f] @ v + w[DIMS]) - 1.0
             new = min(max(alpha[i] - grad / (v @ v + 1.0), 0.0), limit[i])
             step = (new - alpha[i]) * sign[i]
@@ -100,19 +101,16 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: fl
     return w
 
 
-def _scaled(f: np.ndarray, at: np.ndarray, ratio: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for k in range(len(at) - 1):
-        own = f[at[k]:at[k + 1]]
-        v = ratio[own]
-        norm = np.sqrt(v @ v)
-        out.append((own, v / norm if norm else v))
-    return out
+def _scaled(f: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """The values of a text's features, of length 1; drawn anew when needed, so a fit holds feature numbers only."""
+    v = ratio[f]
+    norm = np.sqrt(v @ v)
+    return v / norm if norm else v
 
 
 def fit_rows(y: np.ndarray, fold: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
     """ratio, weight (bias last) and calibration (slope, offset) from labelled feature rows."""
-    f = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    f = np.concatenate([p[0].astype(np.int32, copy=False) for p in parts]) if parts else np.zeros(0, np.int32)
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]) if parts else np.zeros(1, np.int64)
     if len(set(y.tolist())) < 2:
         prior = ((y == 1).sum() + 1) / (len(y) + 2)
@@ -121,9 +119,9 @@ def fit_rows(y: np.ndarray, fold: np.ndarray, parts: list[tuple[np.ndarray, np.n
     if len(set(y[fit].tolist())) < 2 or len(set(y[~fit].tolist())) < 2:
         fit = np.ones(len(y), bool)
     ratio = log_ratios(f[np.repeat(fit, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[fit])]), y[fit])
-    rows = _scaled(f, at, ratio)
-    w = dual_descent([r for r, a in zip(rows, fit) if a], y[fit])
-    margin = np.array([w[i] @ v + w[DIMS] for i, v in rows])
+    rows = np.split(f, at[1:-1])
+    w = dual_descent([r for r, a in zip(rows, fit) if a], ratio, y[fit])
+    margin = np.array([w[r] @ _scaled(r, ratio) + w[DIMS] for r in rows])
     rest = ~fit if (~fit).any() else fit
     return {"ratio": ratio, "weight": w, "scale": np.array(platt(margin[rest], y[rest]))}
 
@@ -135,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit: i
         for batch in batches:
             y += column(batch, "label").to_pylist()
             fold += column(batch, "fold").to_pylist()
-            parts += [features(buf, off) for _, _, buf, off in slices(column(batch, "text"))]
+            for _, _, buf, off in slices(column(batch, "text")):
+                f, at = features(buf, off)
+                parts.append((f.astype(np.int32), at))
         model = fit_rows(np.array(y, np.int64), np.array(fold, np.int64), parts)
         yield pa.RecordBatch.from_arrays([pa.array(list(model)), pa.array([v.astype("<f8").tobytes() for v in model.values()])],
                                          names=["name", "data"])
