@@ -2,8 +2,8 @@
 
 The oracle-checked explanations use the frozen logistic scorer, whose margin
 ``2 + 2 * burden_ratio - 4 * academic_engagement`` is linear, so its SHAP
-values have the exact closed form; the background is the first 100 students
-by id (D4).
+values have the exact closed form; the background is the whole
+training split.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from retainlab.operators import explain as ex
 from retainlab.operators import explore as eo
 from retainlab.operators import split as sp
 from retainlab.plans.oracle import FEATURES, STUDENTS, with_
+from retainlab.plans.q_prep import SPLIT_SQL
 from retainlab.plans.q_scoring import features_df
 from retainlab.plans.registry import query, round_doubles
 from retainlab.sources.fixture import ID, students
@@ -26,21 +27,21 @@ INTERCEPT = 2.0
 
 
 def explain_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    f = features_df(spark, sf)
-    return f.select(ID, F.try_divide(F.col("financial_burden"), burden_max(f)).alias("burden_ratio"),
+    f = sp.stratified_split(features_df(spark, sf))
+    return f.select(ID, "split", F.try_divide(F.col("financial_burden"), burden_max(f)).alias("burden_ratio"),
                     "academic_engagement")
 
 
 def shap_table(spark: SparkSession, sf: str) -> DataFrame:
     x = explain_inputs(spark, sf)
-    return ex.linear_shap(x, sp.background_rows(x), WEIGHTS)
+    return ex.linear_shap(x, x.where("split = 'train'"), WEIGHTS)
 
 
-EX_SQL = [STUDENTS, FEATURES, """ex_ AS (
-  SELECT student_id, financial_burden / NULLIF(bmax_.mx, 0) AS burden_ratio, academic_engagement
-  FROM features, bmax_)""", """bgm_ AS (
+EX_SQL = [STUDENTS, FEATURES, SPLIT_SQL, """ex_ AS (
+  SELECT features.student_id, split_.split, financial_burden / NULLIF(bmax_.mx, 0) AS burden_ratio, academic_engagement
+  FROM features JOIN split_ ON split_.student_id = features.student_id, bmax_)""", """bgm_ AS (
   SELECT avg(burden_ratio) AS m1, avg(academic_engagement) AS m2
-  FROM (SELECT * FROM ex_ ORDER BY student_id LIMIT 100))""", """shap_ AS (
+  FROM ex_ WHERE split = 'train')""", """shap_ AS (
   SELECT student_id, 'burden_ratio' AS feature, burden_ratio AS value,
          2.0::DOUBLE * (burden_ratio - m1) AS contribution FROM ex_, bgm_
   UNION ALL
@@ -57,12 +58,12 @@ def q_shap_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("shap_base", with_(*EX_SQL, body="""
 SELECT round(avg(2.0::DOUBLE + 2 * burden_ratio - 4 * academic_engagement), 6) AS expected_value
-FROM (SELECT * FROM ex_ ORDER BY student_id LIMIT 100)"""))
+FROM ex_ WHERE split = 'train'"""))
 def q_shap_base(spark: SparkSession, sf: str) -> DataFrame:
     """H3: expected value = mean margin over the background."""
     x = explain_inputs(spark, sf)
     margin = F.lit(INTERCEPT) + 2 * F.col("burden_ratio") - 4 * F.col("academic_engagement")
-    return round_doubles(ex.base_value(sp.background_rows(x), margin))
+    return round_doubles(ex.base_value(x.where("split = 'train'"), margin))
 
 
 @query("shap_importance", with_(*EX_SQL, body="""
