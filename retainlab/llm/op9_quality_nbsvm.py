@@ -68,11 +68,11 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key & (DIMS - 1), np.searchsorted(key, np.arange(len(off)) << BITS)
 
 
-def log_ratios(f: np.ndarray, at: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """log of the smoothed share of a feature in class 1 over its share in class 0."""
-    row = np.repeat(y, np.diff(at))
-    p = ALPHA + np.bincount(f[row == 1], minlength=DIMS)
-    q = ALPHA + np.bincount(f[row == 0], minlength=DIMS)
+def log_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """log of the smoothed share of a feature in class 1 over its share in class 0; ``rows``: distinct features."""
+    q, p = count = np.full((2, DIMS), ALPHA)
+    for f, label in zip(rows, y):
+        count[label, f] += 1
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
@@ -108,19 +108,17 @@ def _scaled(f: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return v / norm if norm else v
 
 
-def fit_rows(y: np.ndarray, fold: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    """ratio, weight (bias last) and calibration (slope, offset) from labelled feature rows."""
-    f = np.concatenate([p[0].astype(np.int32, copy=False) for p in parts]) if parts else np.zeros(0, np.int32)
-    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]) if parts else np.zeros(1, np.int64)
+def fit_rows(y: np.ndarray, fold: np.ndarray, rows: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """ratio, weight (bias last) and calibration (slope, offset) from the features of labelled texts."""
     if len(set(y.tolist())) < 2:
         prior = ((y == 1).sum() + 1) / (len(y) + 2)
         return {"ratio": np.zeros(DIMS), "weight": np.zeros(DIMS + 1), "scale": np.array([0.0, np.log(prior / (1 - prior))])}
     fit = fold != 0
     if len(set(y[fit].tolist())) < 2 or len(set(y[~fit].tolist())) < 2:
         fit = np.ones(len(y), bool)
-    ratio = log_ratios(f[np.repeat(fit, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[fit])]), y[fit])
-    rows = np.split(f, at[1:-1])
-    w = dual_descent([r for r, a in zip(rows, fit) if a], ratio, y[fit])
+    fitted = [r for r, a in zip(rows, fit) if a]
+    ratio = log_ratios(fitted, np.where(y[fit] == 1, 1, 0))
+    w = dual_descent(fitted, ratio, y[fit])
     margin = np.array([w[r] @ _scaled(r, ratio) + w[DIMS] for r in rows])
     rest = ~fit if (~fit).any() else fit
     return {"ratio": ratio, "weight": w, "scale": np.array(platt(margin[rest], y[rest]))}
@@ -129,14 +127,14 @@ def fit_rows(y: np.ndarray, fold: np.ndarray, parts: list[tuple[np.ndarray, np.n
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit: int = MAX_FIT) -> dict[str, np.ndarray]:
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, fold, parts = [], [], []
+        y, fold, rows = [], [], []
         for batch in batches:
             y += column(batch, "label").to_pylist()
             fold += column(batch, "fold").to_pylist()
             for _, _, buf, off in slices(column(batch, "text")):
                 f, at = features(buf, off)
-                parts.append((f.astype(np.int32), at))
-        model = fit_rows(np.array(y, np.int64), np.array(fold, np.int64), parts)
+                rows += np.split(f.astype(np.int32), at[1:-1])  # views: the numbers are held once
+        model = fit_rows(np.array(y, np.int64), np.array(fold, np.int64), rows)
         yield pa.RecordBatch.from_arrays([pa.array(list(model)), pa.array([v.astype("<f8").tobytes() for v in model.values()])],
                                          names=["name", "data"])
 
