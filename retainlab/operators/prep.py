@@ -26,7 +26,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retainlab.functions.ordered import exact_quantiles
@@ -78,8 +78,8 @@ class PrepEstimator(Estimator, _PrepParams, DefaultParamsReadable, DefaultParams
         if num:
             med = {r["column"]: r["value"] for r in exact_quantiles(df, num, 0.5).collect()}
             medians = [med.get(c) for c in num]
-            filled = [F.coalesce(F.col(c).cast("double"), F.lit(m)) if m is not None
-                      else F.col(c).cast("double") for c, m in zip(num, medians)]
+            filled = [F.coalesce(_number(c), F.lit(m)) if m is not None else _number(c)
+                      for c, m in zip(num, medians)]
             row = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(filled)],
                          *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(filled)]).first()
             means = [row[f"m{i}"] for i in range(len(num))]
@@ -94,6 +94,12 @@ class PrepEstimator(Estimator, _PrepParams, DefaultParamsReadable, DefaultParams
         return model
 
 
+def _number(c: str) -> Column:
+    """The column as double; NaN counts as missing, like NULL."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _f(x):
     return float("nan") if x is None else float(x)
 
@@ -162,7 +168,7 @@ class PrepModel(Model, _PrepParams, DefaultParamsReadable, DefaultParamsWritable
         g = self.getOrDefault
         out = []
         for c, med, mu, sd in zip(g("numericCols"), g("medians"), g("means"), g("stds")):
-            x = F.col(c).cast("double")
+            x = _number(c)
             if med == med:  # not NaN: a median exists
                 x = F.coalesce(x, F.lit(med))
             scale = 1.0 if (sd != sd or sd == 0.0) else sd

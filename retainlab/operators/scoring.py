@@ -157,18 +157,11 @@ def score_summary(scored: DataFrame, score: str = "retention_score") -> DataFram
                        F.min(score).alias("min_retention_score"),
                        F.max(score).alias("max_retention_score"))
     med = exact_quantiles(scored, [score], 0.5).select(F.col("value").alias("median_retention_score"))
-    return basic.join(med, how="left").select(
-        "total_students", "average_retention_score", "median_retention_score",
+    return basic.select(  # one row each: the median enters as a scalar (NULL without a score)
+        "total_students", "average_retention_score", med.scalar().alias("median_retention_score"),
         "min_retention_score", "max_retention_score")
 
 
-def summary_statistics(scored: DataFrame, tier: str = "risk_category",
-                       score: str = "retention_score") -> DataFrame:
-    """A1-A3 in one row: count, mean, median, min, max and the two tier maps."""
-    maps = batch_stats(scored, None, tier, score).select("risk_distribution", "risk_percentage")
-    return score_summary(scored, score).join(maps, how="left")
-
-
 def batch_stats(scored: DataFrame, batch_col: str | None = None, tier: str = "risk_category",
                 score: str = "retention_score") -> DataFrame:
     """A4: total, mean, tier counts and shares; one row per batch if ``batch_col``.

@@ -20,16 +20,18 @@ from retainlab.plans.oracle import FEATURES, STUDENTS, with_
 from retainlab.plans.q_prep import SPLIT_SQL
 from retainlab.plans.q_scoring import features_df
 from retainlab.plans.registry import query, round_doubles
-from retainlab.sources.fixture import ID, students
+from retainlab.session import once
+from retainlab.sources.fixture import ID, LABEL, students
 
 WEIGHTS = {"burden_ratio": 2.0, "academic_engagement": -4.0}
 INTERCEPT = 2.0
 
 
 def explain_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    f = sp.stratified_split(features_df(spark, sf))
-    return f.select(ID, "split", F.try_divide(F.col("financial_burden"), burden_max(f)).alias("burden_ratio"),
-                    "academic_engagement")
+    # split, maximum, means and rows all read these four columns: derive them once
+    f = sp.stratified_split(once(features_df(spark, sf).select(ID, LABEL, "financial_burden", "academic_engagement")))
+    return once(f.select(ID, "split", F.try_divide(F.col("financial_burden"), burden_max(f)).alias("burden_ratio"),
+                         "academic_engagement"))
 
 
 def shap_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,8 +100,9 @@ SELECT student_id, feature, round(contribution, 6) AS contribution,
 FROM shap_ JOIN pos_ USING (student_id)"""))
 def q_shap_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Local explanations of the five report positions (ids joined, not collected)."""
-    s = shap_table(spark, sf)
-    pos = ct.sample_positions(students(spark, sf).select(ID)).select(ID)
+    x = explain_inputs(spark, sf)
+    s = ex.linear_shap(x, x.where("split = 'train'"), WEIGHTS)
+    pos = ct.sample_positions(x.select(ID)).select(ID)
     loc = ex.local_explanation(s.join(pos, ID), 10)
     return round_doubles(loc.select(ID, "feature", "contribution", "rank"))
 

@@ -18,21 +18,24 @@ from retainlab.plans.oracle import FEATURES, SCORED, STUDENTS, with_
 from retainlab.plans.q_prep import SPLIT_SQL
 from retainlab.plans.q_scoring import scored_df
 from retainlab.plans.registry import query, round_doubles
+from retainlab.session import once
 from retainlab.sources.fixture import ID, LABEL
 
 SCORERS = ["frozen_logistic", "overall_risk", "risk_factors"]
 
 
-def scorer_table(spark: SparkSession, sf: str) -> DataFrame:
-    """(model, model_order, student_id, dropout_status, fold, probability, prediction)."""
-    s = scored_df(spark, sf, keep=[LABEL, "overall_risk_score", "risk_factors_count"])
-    s = sp.kfold(s, LABEL, ID)
+def scorer_table(spark: SparkSession, sf: str, folds: bool = False) -> DataFrame:
+    """(model, model_order, student_id, dropout_status, [fold,] probability, prediction), derived once."""
+    s = once(scored_df(spark, sf, keep=[LABEL, "overall_risk_score", "risk_factors_count"]))
+    keys = [ID, LABEL]
+    if folds:
+        s, keys = once(sp.kfold(s, LABEL, ID)), [*keys, "fold"]
     probs = [F.col("dropout_probability"), F.round("overall_risk_score", 6),
              F.round(F.col("risk_factors_count") / 5.0, 6)]
     rows = F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(i).alias("model_order"), p.cast("double").alias("probability"))
         for i, (m, p) in enumerate(zip(SCORERS, probs))]))
-    t = s.select(ID, LABEL, "fold", rows.alias("r")).select(ID, LABEL, "fold", "r.*")
+    t = s.select(*keys, rows.alias("r")).select(*keys, "r.*")
     return t.withColumn("prediction", sc.hard_label(F.col("probability")))
 
 
@@ -88,7 +91,7 @@ COMPARISON_SQL = """cmp_ AS (
 
 
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    t = scorer_table(spark, sf)
+    t = scorer_table(spark, sf, folds=True)
     ev = mt.evaluate(t, LABEL, "probability", "prediction", ["model"])
     cv = mt.cv_scores(t, LABEL, "probability", "fold", ["model"])
     return ev.join(cv, "model").select("model", *mt.METRICS)
@@ -112,7 +115,7 @@ def q_roc_auc(spark: SparkSession, sf: str) -> DataFrame:
 SELECT model, round(cv_mean, 6) AS cv_mean, round(cv_std, 6) AS cv_std FROM cv_"""))
 def q_cv_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and population std of the per-fold AUC (stratified 5 folds)."""
-    return round_doubles(mt.cv_scores(scorer_table(spark, sf), LABEL, "probability", "fold", ["model"]))
+    return round_doubles(mt.cv_scores(scorer_table(spark, sf, folds=True), LABEL, "probability", "fold", ["model"]))
 
 
 @query("model_comparison", with_(*BASE, BIN_SQL, _auc_sql("model"), CV_SQL, COMPARISON_SQL, body="""

@@ -13,6 +13,7 @@ from retainlab.operators import split as sp
 from retainlab.plans.oracle import FEATURES, STUDENTS, with_
 from retainlab.plans.q_scoring import features_df
 from retainlab.plans.registry import query, round_doubles
+from retainlab.session import once
 from retainlab.sources.fixture import FEATURE_INPUTS, ID, LABEL, students
 
 # Oracle-side knowledge of the fixture: string columns and their (sorted) domains.
@@ -82,7 +83,7 @@ FROM features, med_, mom_, mode_""")
 
 
 def fitted_prep(spark: SparkSession, sf: str) -> tuple[DataFrame, pp.PrepModel]:
-    f = features_df(spark, sf)
+    f = once(features_df(spark, sf))  # read by three fit aggregates and the transform
     return f, pp.fit_prep(f, NUM, CAT, output_col="")
 
 
@@ -142,7 +143,7 @@ SELECT features.student_id, split_.split, {prep_select('features')}
 FROM features JOIN split_ USING (student_id), med_, mom_, mode_"""))
 def q_prep_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Prep fitted on the training split, applied to every row."""
-    f = sp.stratified_split(features_df(spark, sf))
+    f = once(sp.stratified_split(once(features_df(spark, sf))))
     m = pp.fit_prep(f.where(F.col("split") == "train"), NUM, CAT, output_col="")
     return round_doubles(m.processed(f, keep=[ID, "split"]))
 
@@ -151,13 +152,13 @@ def q_prep_apply(spark: SparkSession, sf: str) -> DataFrame:
 SELECT student_id, dropout_status, split FROM students JOIN split_ USING (student_id)"""))
 def q_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     """Stratified 60/20/20 split by the seeded hash order."""
-    return sp.stratified_split(students(spark, sf).select(ID, LABEL))
+    return sp.stratified_split(once(students(spark, sf).select(ID, LABEL)))
 
 
 @query("kfold", with_(STUDENTS, SPLIT_SQL, body="SELECT student_id, fold FROM split_"))
 def q_kfold(spark: SparkSession, sf: str) -> DataFrame:
     """Stratified 5-fold assignment."""
-    return sp.kfold(students(spark, sf).select(ID, LABEL)).select(ID, "fold")
+    return sp.kfold(once(students(spark, sf).select(ID, LABEL))).select(ID, "fold")
 
 
 @query("sample_rows", with_(STUDENTS, body="""

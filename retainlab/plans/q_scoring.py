@@ -11,6 +11,7 @@ from retainlab.functions.label import dropout_points, rule_label
 from retainlab.operators import scoring as sc
 from retainlab.plans.oracle import FEATURES, SCORED, STUDENTS, d, with_
 from retainlab.plans.registry import query, round_doubles
+from retainlab.session import once
 from retainlab.sources.fixture import memo_plan, students
 
 
@@ -180,7 +181,7 @@ SELECT student_id, round(dropout_probability, 6) AS dropout_probability,
        round(retention_score, 6) AS retention_score, risk_category, {_actions_sql()} FROM scored"""))
 def q_score_with_actions(spark: SparkSession, sf: str) -> DataFrame:
     """Score rows joined to their recommendation (first match per id)."""
-    s = scored_df(spark, sf, keep=REC_KEEP)
+    s = once(scored_df(spark, sf, keep=REC_KEEP))  # both sides of the join
     recs = sc.with_recommendations(s).select("student_id", "recommendations")
     out = sc.score_with_actions(s.select("student_id", "dropout_probability", "retention_score",
                                          "risk_category"), recs)
@@ -198,7 +199,7 @@ SELECT COUNT(*) AS total_students, round(avg(retention_score), 6) AS average_ret
        round(max(retention_score), 6) AS max_retention_score FROM scored"""))
 def q_score_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A1: size, mean, exact median, min and max of the retention score."""
-    return round_doubles(sc.score_summary(scored_df(spark, sf)))
+    return round_doubles(sc.score_summary(once(scored_df(spark, sf))))
 
 
 @query("risk_distribution", with_(STUDENTS, FEATURES, SCORED, body="""

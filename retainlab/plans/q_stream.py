@@ -22,7 +22,7 @@ def _inbox(spark: SparkSession, sf: str) -> tuple[str, float]:
     run = uuid.uuid4().hex[:12]
     inbox = shared_path(spark, f"stream/{run}/inbox")
     s.select(*[F.col(f.name).cast(f.dataType) for f in STUDENT_SCHEMA.fields]) \
-        .repartition(4, "student_id").write.mode("overwrite").parquet(inbox)
+        .repartition("student_id").write.mode("overwrite").parquet(inbox)
     mx = fx.financial_features(s).agg(F.max("financial_burden")).first()[0]
     return inbox, float(mx)
 

@@ -25,7 +25,7 @@ from retainlab.operators import models as md
 from retainlab.operators import prep as pp
 from retainlab.operators import split as sp
 from retainlab.plans.q_prep import CAT, NUM
-from retainlab.session import shared_path
+from retainlab.session import once, shared_path
 from retainlab.sources.fixture import ID, LABEL, memo_plan, students
 
 
@@ -39,11 +39,12 @@ class Prepared:
 
 def prepared(spark: SparkSession, sf: str, fit_scope: str = "train") -> Prepared:
     def build():
-        raw = students(spark, sf)
-        fstage = md.frozen_feature_stage(raw)
-        f = sp.stratified_split(fstage.transform(raw))
-        train = sp.kfold(f.where(F.col("split") == "train"))
-        f = f.join(train.select(ID, "fold"), ID, "left")
+        raw = once(sp.stratified_split(once(students(spark, sf))))
+        in_train = F.col("split") == "train"
+        fstage = md.frozen_feature_stage(raw.where(in_train) if fit_scope == "train" else raw)
+        folds = sp.kfold(raw.where(in_train).select(ID, LABEL))
+        f = once(fstage.transform(raw).join(folds.select(ID, "fold"), ID, "left"))
+        train = f.where(in_train)
         prep = pp.fit_prep(train if fit_scope == "train" else f, NUM, CAT, output_col="features")
         data = prep.transform(f).select(ID, "split", "fold", F.col(LABEL).cast("double").alias("label"),
                                         "features").persist(StorageLevel.MEMORY_AND_DISK)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -53,6 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def once(df: DataFrame) -> DataFrame:
+    """Derive ``df`` once: written to the shared checkpoint folder, so plans that read it
+    several times read the written table instead of deriving it again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder, for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -45,12 +45,13 @@ def run_to_parquet(df: DataFrame, sink: str, checkpoint: str) -> None:
 
 
 def batch_stats_sink(sink: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer of the A4 statistics, keyed by the batch id."""
+    """``foreachBatch`` writer of the A4 statistics, keyed by the epoch; a replayed
+    epoch overwrites its own folder, so no row is written twice."""
     from pyspark.sql import functions as F
 
     def write(batch: DataFrame, epoch: int) -> None:
         st = sc.batch_stats(batch.withColumn("batch_id", F.lit(epoch)), "batch_id")
-        st.write.mode("append").parquet(sink)
+        st.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
     return write
 
 
