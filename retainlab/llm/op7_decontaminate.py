@@ -9,7 +9,8 @@ cuts the hit spans out of the texts (again and again until no window is left).
 
 The set is broadcast only below ``max_broadcast`` bytes of windows; a larger
 benchmark is cut into hash shards of at most that size, each broadcast to its
-own pass over the documents, and the hits are united per document.
+own pass over the documents, and the hits are united per document before anything
+is cut, round by round.
 
 Edge cases: null or empty texts (either side) have no words and no windows; null
 item ids mark words but are not listed; repeated items and windows count once per
@@ -158,46 +159,124 @@ def report(hits: DataFrame) -> DataFrame:
         (F.size("hit") > 0).alias("contaminated"))
 
 
+def _without(raw: bytes, s: np.ndarray, e: np.ndarray, hit: np.ndarray) -> str:
+    """The text without the spans from the first to the last word of each run of hits."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
+    out, at = [], 0
+    for a, b in zip(edge[::2], edge[1::2]):
+        out.append(raw[at:s[a]])
+        at = int(e[b - 1])
+    return b"".join([*out, raw[at:]]).decode()
+
+
+def _has_word(text: str) -> bool:
+    return bool(ALNUM_SPLIT[LOWER[np.frombuffer(text.encode(), np.uint8)]].any())
+
+
 def clean_text(table: WindowSet, text: str) -> str:
-    """Cut the spans from the first to the last word of each run of hits until none is left."""
+    """Cut the hits until none is left."""
     while True:
         raw = text.encode()
         buf = np.frombuffer(raw, np.uint8)
         (s, e, _), found = table.occurrences(buf, np.array([0, len(buf)]))
         if not found:
             return text
-        hit = np.zeros(len(s) + 1, bool)
+        hit = np.zeros(len(s), bool)
         for p, n, _ in found:
             hit[p:p + n] = True
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit])))
-        out, at = [], 0
-        for a, b in zip(edge[::2], edge[1::2]):
-            out.append(raw[at:s[a]])
-            at = int(e[b - 1])
-        text = b"".join([*out, raw[at:]]).decode()
+        text = _without(raw, s, e, hit)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``docs`` with hit spans cut out of ``text``; a document left without a word is dropped.
 
-    A document that had no word before is not hit and stays as it is.
+    A document that had no word before is not hit and stays as it is.  The result does not depend on the
+    number of shards: each round cuts the hits that all shards found on the same text.
     """
-    schema = docs.schema
-    for shared in _shards(benchmark, n, max_broadcast):
-        @lean
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-                for first, _, buf, off in slices(batch.column(at)):
-                    (_, _, woff), found = table.occurrences(buf, off)
-                    for k in {int(np.searchsorted(woff, p, "right")) - 1 for p, _, _ in found}:
-                        texts[first + k] = clean_text(table, texts[first + k])
-                        raw = np.frombuffer(texts[first + k].encode(), np.uint8)
-                        keep[first + k] = bool(ALNUM_SPLIT[LOWER[raw]].any())
-                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(
-                    pa.array(keep))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    shards = list(_shards(benchmark, n, max_broadcast))
+    return _remove_at_once(docs, shards[0]) if len(shards) == 1 else _remove_in_rounds(docs, shards)
+
+
+def _remove_at_once(docs: DataFrame, shared) -> DataFrame:
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+            for first, _, buf, off in slices(batch.column(at)):
+                (_, _, woff), found = table.occurrences(buf, off)
+                for k in {int(np.searchsorted(woff, p, "right")) - 1 for p, _, _ in found}:
+                    texts[first + k] = clean_text(table, texts[first + k])
+                    keep[first + k] = _has_word(texts[first + k])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(
+                pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _hits_of_shard(texts: DataFrame, shared) -> DataFrame:
+    """(_key, hit) of the texts that hold a window of the shard."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for first, last, buf, off in slices(column(batch, "text")):
+                (_, _, woff), found = table.occurrences(buf, off)
+                hit: dict[int, set] = {}
+                for p, n, _ in found:
+                    k = int(np.searchsorted(woff, p, "right")) - 1
+                    hit.setdefault(k, set()).update(range(p - int(woff[k]), p - int(woff[k]) + n))
+                yield pa.RecordBatch.from_arrays(
+                    [column(batch, "_key").slice(first, last - first).take(pa.array(list(hit), pa.int64())),
+                     pa.array([sorted(x) for x in hit.values()], pa.list_(pa.int32()))], names=["_key", "hit"])
+
+    return texts.mapInArrow(run, "_key string, hit array<int>")
+
+
+def _remove_in_rounds(docs: DataFrame, shards: list) -> DataFrame:
+    """Each round unites the hits of all shards on the unchanged texts and cuts them; changed texts go on to the next.
+
+    A shard is one pass of its own, so a worker holds one shard at a time.  Hits depend on the text alone and are
+    joined by its SHA-256; a round takes at least a word from every text it goes on with, so the rounds end.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, hits = column(batch, "_row"), column(batch, "hit").to_pylist()
+            parts = [row.field(i) for i in range(len(names))]
+            texts, keep = parts[at].to_pylist(), np.ones(batch.num_rows, bool)
+            for k, hit in enumerate(hits):
+                if hit:
+                    raw = texts[k].encode()
+                    buf = np.frombuffer(raw, np.uint8)
+                    s, e, _ = words(buf, np.array([0, len(buf)]), ALNUM_SPLIT)
+                    mask = np.zeros(len(s), bool)
+                    mask[hit] = True
+                    texts[k] = _without(raw, s, e, mask)
+                    keep[k] = _has_word(texts[k])
+            parts[at] = pa.array(texts, parts[at].type)
+            whole = pa.StructArray.from_arrays(parts, fields=list(row.type))
+            yield pa.RecordBatch.from_arrays([whole, pa.array([bool(x) for x in hits], pa.bool_())],
+                                             names=["_row", "_changed"]).filter(pa.array(keep))
+
+    done, todo = None, docs
+    while True:
+        texts = todo.select(F.sha2(F.col("`text`").cast("binary"), 256).alias("_key"), F.col("`text`").alias("text"))
+        hits = None
+        for shared in shards:
+            part = _hits_of_shard(texts, shared)
+            hits = part if hits is None else hits.unionByName(part)
+        hits = hits.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hit"))
+        rows = todo.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
+                           F.sha2(F.col("`text`").cast("binary"), 256).alias("_key"))
+        joined = rows.join(hits, "_key", "left").select("_row", "hit")
+        state = cut(joined.mapInArrow(run, f"_row {joined.schema['_row'].dataType.simpleString()}, _changed boolean"))
+        kept = state.where("NOT _changed").select("_row.*")
+        done = kept if done is None else done.unionByName(kept)
+        todo = state.where("_changed").select("_row.*")
+        if todo.isEmpty():
+            return done

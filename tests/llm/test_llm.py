@@ -221,6 +221,25 @@ def test_decontamination(spark, docs, empty):
     assert op.report(op.scan(docs, bench.limit(0))).where("contaminated").count() == 0 and op.scan(empty, bench).count() == 0
 
 
+def test_decontamination_by_shard_equals_one_broadcast(spark):
+    from retainlab.llm import op7_decontaminate as op
+    items = [words_of(300 + k, 14) for k in range(12)]
+    bench = spark.createDataFrame([(str(k), t) for k, t in enumerate(items)], "item_id string, text string")
+    rows = [(k, t, "x") for k, t in enumerate(items)]
+    rows += [(100 + k, f"start {t} -- middle {items[(k + 5) % 12]} end", None) for k, t in enumerate(items)]
+    # cutting one passage joins the halves of another
+    rows += [(200 + k, " ".join(t.split()[:7] + [items[(k + 3) % 12]] + t.split()[7:]) + " rest", "y") for k, t in enumerate(items)]
+    rows += [(300, None, None), (301, "", None), (302, words_of(9), "z"), (302, words_of(9), "z"), (200, rows[24][1], "y")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, `_key` string")
+
+    def result(limit):
+        return collections.Counter(map(tuple, op.remove_spans(own, bench, max_broadcast=limit).collect()))
+
+    whole = result(1 << 26)
+    assert whole[(200, " rest", "y")] == 2 and not any(i < 100 for i, _, _ in whole)
+    assert result(1 << 11) == whole
+
+
 def plain_spans(t):
     def luhn(d):
         return sum(x - 9 * (x > 9) for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
