@@ -4,10 +4,11 @@
    tokenizer), appends the end id, and cuts documents longer than a sequence into full
    pieces, the first of which may be shorter.
 2. The lengths lie in 1..capacity, so their histogram has at most ``capacity`` rows at
-   any scale.  ``plan`` packs the histogram: around the largest length left it
-   enumerates undominated fillings (branch and bound on the waste, the best-fit filling
-   being the first incumbent), and applies the best one as often as the counts allow.
-   The result is compared with best-fit decreasing, and the smaller one is used.
+   any scale.  ``search`` packs the histogram by bin completion: branch and bound over
+   whole packings, each node branching over the undominated fillings of the largest length
+   left.  Branches that cannot beat the incumbent are pruned by total waste and a lower bound;
+   best-fit decreasing and the plan of least-waste fillings are the first incumbents.  It
+   ends when a plan is proven optimal or after ``MAX_NODES`` nodes (the same ones in every run).
 3. ``place`` ranks the pieces within each length (per hash bucket, so that a length held
    by a third of all pieces is many small sorts) and looks up sequence and offset of
    each rank in the plan, a table bounded by the number of applied fillings.
@@ -19,6 +20,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +36,7 @@ from retainlab.llm.textwords import column
 CAPACITY = 2048
 END_ID = 0
 CACHE_PIECES = 400_000   # entries of a worker's word cache; it is emptied when full
-MAX_NODES = 500         # fillings looked at around one largest piece
+MAX_NODES = 20_000       # fillings and branches looked at in the search over whole packings
 RANK_BUCKETS = 64        # hash buckets of a length
 
 
@@ -122,43 +124,63 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_filling(count: np.ndarray, largest: int, capacity: int) -> list[int]:
-    """Lengths to put beside one piece of ``largest``: least waste, undominated, found by branch and bound.
+def _dominated(count: np.ndarray, filling: list[int], waste: int) -> bool:
+    """Whether a piece, or two together, can give way to one larger piece that is left over and fits."""
+    single = set(filling)
+    spare = count.copy()
+    for x in filling:
+        spare[x] -= 1
+    for x in single:
+        if spare[x + 1:x + waste + 1].any():
+            return True
+    pairs = {x + y for x in single for y in single if x < y} | {2 * x for x in single if filling.count(x) > 1}
+    return any(spare[s:s + waste + 1].any() for s in pairs) or bool(spare[1:waste + 1].any())
+
 
-    Branches take the largest length that fits first, so the first leaf is the best-fit filling
-    and the first incumbent.  A branch is pruned when its lengths cannot waste less than the incumbent.
-    A filling is dominated when one of its pieces can be replaced by a larger one left over that
-    still fits; the leaf test (no remaining length fits) and the order of branching exclude those.
+def fillings(count: np.ndarray, largest: int, capacity: int, slack: int, budget: list[int]) -> Iterator[list[int]]:
+    """Undominated lengths to put beside one piece of ``largest``, by waste (at most ``slack``), large pieces first.
+
+    ``reach[i]`` has bit s set when the i smallest lengths left can sum to s, so no branch of the enumeration is
+    dead.  Every filling looked at takes one of ``budget[0]``; nothing is left out before the budget ends.
     """
     room = capacity - largest
-    avail = count.copy()
-    avail[largest] -= 1
-    best: list[int] = []
-    best_waste, nodes = room + 1, 0
-    # reach[r]: greatest length available that is at most r
-    lens = np.flatnonzero(avail[:room + 1])
-    if not len(lens):
-        return []
-    stack: list[tuple[int, int, list[int]]] = [(room, room, [])]
-    while stack and best_waste and nodes < MAX_NODES:
-        left, cap, used = stack.pop()
-        nodes += 1
-        fits = lens[:np.searchsorted(lens, min(left, cap), "right")]
-        leaf = True
-        grown = []
-        for x in fits[::-1][:12]:
-            if avail[x] > used.count(x):
-                leaf = False
-                grown.append((left - int(x), int(x), [*used, int(x)]))
-        if leaf:
-            if left < best_waste:
-                best, best_waste = used, left
-            continue
-        stack.extend(reversed(grown))
-        exact = avail[left] if left < len(avail) else 0
-        if exact > used.count(left) and left <= cap:
-            stack.append((0, left, [*used, left]))
-    return best
+    avail = count[:room + 1].copy()
+    if largest <= room:
+        avail[largest] -= 1
+    lens = np.flatnonzero(avail).tolist()
+    own = avail[lens].tolist()
+    mask, reach = (1 << room + 1) - 1, [1]
+    for x, n in zip(lens, own):
+        got, rest, step = reach[-1], min(n, room // x), 1
+        while rest:
+            step = min(step, rest)
+            got |= got << step * x & mask
+            rest, step = rest - step, 2 * step
+        reach.append(got)
+
+    def exact(j: int, r: int) -> Iterator[list[int]]:
+        if not r:
+            yield []
+            return
+        for i in range(min(j, bisect.bisect_right(lens, r)) - 1, -1, -1):
+            if not reach[i + 1] >> r & 1:
+                return
+            x = lens[i]
+            for n in range(min(own[i], r // x), 0, -1):
+                if reach[i] >> r - n * x & 1:
+                    for rest in exact(i, r - n * x):
+                        yield [x] * n + rest
+
+    whole = count.copy()
+    whole[largest] -= 1
+    for waste in range(min(slack, room) + 1):
+        if reach[-1] >> room - waste & 1:
+            for filling in exact(len(lens), room - waste):
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return
+                if not _dominated(whole, filling, waste):
+                    yield filling
 
 
 def _fill_counts(filling: list[int]) -> dict[int, int]:
@@ -168,24 +190,40 @@ def _fill_counts(filling: list[int]) -> dict[int, int]:
     return out
 
 
-def completion_plan(hist: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """[(lengths of a sequence, times)] by bin completion; at least one length runs short per entry."""
+def lower_bound(count: np.ndarray, capacity: int) -> int:
+    """Least number of sequences: the sum over the capacity, and for each threshold a the lengths of at least a that
+    do not fit beside those above half (Martello and Toth)."""
+    half, a = capacity // 2, np.arange(capacity // 2 + 1)
+    n, s = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
+    beside = n[capacity - a] - n[half]
+    rest = s[half] - np.where(a > 0, s[np.maximum(a - 1, 0)], 0) - (beside * capacity - (s[capacity - a] - s[half]))
+    return int((n[-1] - n[half] + np.maximum(0, -(-rest // capacity))).max()) if n[-1] else 0
+
+
+def _counts(hist: dict[int, int], capacity: int) -> np.ndarray:
     count = np.zeros(capacity + 1, np.int64)
     for k, v in hist.items():
         count[k] = v
-    out = []
-    largest = capacity
-    while True:
-        while largest and not count[largest]:
-            largest -= 1
-        if not largest:
-            return out
-        filling = [largest, *best_filling(count, largest, capacity)]
-        use = _fill_counts(filling)
-        times = min(int(count[x]) // n for x, n in use.items())
+    return count
+
+
+def _most(count: np.ndarray, use: dict[int, int]) -> int:
+    return min(int(count[x]) // n for x, n in use.items())
+
+
+def completion_plan(hist: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """[(lengths of a sequence, times)]: the filling of least waste around the largest length left, as often as it goes."""
+    count, out = _counts(hist, capacity), []
+    while count.any():
+        largest = int(np.flatnonzero(count)[-1])
+        # the first one looked at wastes least and is the lexicographically greatest of its sum, so nothing dominates it
+        beside = next(fillings(count, largest, capacity, capacity, [1]))
+        use = _fill_counts([largest, *beside])
+        times = _most(count, use)
         for x, n in use.items():
             count[x] -= n * times
-        out.append((filling, times))
+        out.append(([largest, *beside], times))
+    return out
 
 
 def decreasing_plan(hist: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -213,13 +251,72 @@ def decreasing_plan(hist: dict[int, int], capacity: int) -> list[tuple[list[int]
     return out
 
 
+def search(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NODES) -> tuple[list[tuple[list[int], int]], int, bool]:
+    """(plan, lower bound, proven): branch and bound over whole packings.
+
+    A node is the lengths left.  It branches over the undominated fillings of its largest length, each as often as
+    the counts allow, then less often.  Once all branches of a filling are done, no better packing holds it beside
+    that length, so later siblings leave it out.  A branch ends when the sequences so far and the bound of the rest
+    reach the incumbent; a filling may waste no more than the incumbent leaves.  The first incumbents are best-fit
+    decreasing and the completion plan.  The plan is proven optimal when it meets the bound or the tree was done
+    within ``max_nodes`` fillings; the node budget, unlike a time limit, gives the same plan in every run.
+    """
+    count = _counts(hist, capacity)
+    bound = lower_bound(count, capacity)
+
+    def size(p: list[tuple[list[int], int]]) -> int:
+        return sum(t for _, t in p)
+
+    best = decreasing_plan(hist, capacity)
+    if size(best) > bound:
+        best = min(best, completion_plan(hist, capacity), key=size)
+    total, budget = sum(k * v for k, v in hist.items()), [max_nodes]
+    path: list[tuple[list[int], int]] = []
+    used = 0
+
+    def branches(out: set[tuple[int, ...]]) -> Iterator[tuple[list[int], int, set]]:
+        largest = int(np.flatnonzero(count)[-1])
+        left = int((count * np.arange(capacity + 1)).sum())
+        slack = (size(best) - 1) * capacity - total - (used * capacity - (total - left))
+        for beside in fillings(count.copy(), largest, capacity, slack, budget):
+            key = (largest, *beside)
+            if key in out:
+                continue
+            for times in range(_most(count, _fill_counts(list(key))), 0, -1):
+                yield list(key), times, {k for k in out if k[0] == largest} | {key}
+            out.add(key)
+
+    def move(filling: list[int], times: int) -> None:
+        for x, n in _fill_counts(filling).items():
+            count[x] -= n * times
+
+    frames = [branches(set())] if size(best) > bound else []
+    while frames and size(best) > bound:
+        if len(path) == len(frames):  # back from a branch
+            filling, times = path.pop()
+            move(filling, -times)
+            used -= times
+        got = next(frames[-1], None) if budget[0] >= 0 else None
+        budget[0] -= 1
+        if budget[0] < 0:
+            break
+        if got is None:
+            frames.pop()
+            continue
+        filling, times, out = got
+        path.append((filling, times))
+        move(filling, times)
+        used += times
+        if not count.any():
+            if used < size(best):
+                best = list(path)
+        elif used + lower_bound(count, capacity) < size(best):
+            frames.append(branches(out))
+    return best, bound, size(best) <= bound or budget[0] >= 0
+
+
 def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """The better of both plans; the capacity bound proves the completion plan optimal when it is met."""
-    done = completion_plan(hist, capacity)
-    bound = -(-sum(k * v for k, v in hist.items()) // capacity)
-    if sum(t for _, t in done) <= bound:
-        return done
-    return min(done, decreasing_plan(hist, capacity), key=lambda p: sum(t for _, t in p))
+    return search(hist, capacity)[0]
 
 
 def _blocks(entries: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:

@@ -304,6 +304,42 @@ def test_packing(spark, docs, empty):
     assert sum(t for _, t in done) == -(-sum(k * v for k, v in hist.items()) // 10)
 
 
+def test_packing_search_is_optimal():
+    import random
+
+    from retainlab.llm import op10_bestfit_pack as op
+
+    def fewest(items, capacity):
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for k in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+                go(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1:]])
+            go(i + 1, [*bins, items[i]])
+
+        go(0, [])
+        return best
+
+    rng = random.Random(3)
+    cases = [([47, 12, 23, 22, 29, 55, 34, 29, 43], 100)]  # greedy fillings take 4
+    cases += [([rng.randint(c // 10, c * 2 // 3) for _ in range(rng.randint(5, 10))], c) for c in [20, 30, 50, 100] * 20]
+    for items, capacity in cases:
+        items = sorted(items, reverse=True)
+        done, bound, proven = op.search(dict(collections.Counter(items)), capacity)
+        placed = collections.Counter(x for filling, times in done for x in filling * times)
+        assert placed == collections.Counter(items) and all(sum(f) <= capacity for f, _ in done)
+        assert proven and bound <= sum(t for _, t in op.plan(dict(collections.Counter(items)), capacity)) == fewest(items, capacity)
+    many = {x: 3 for x in range(60, 700, 7)}
+    done, bound, proven = op.search(many, 2048, max_nodes=50)  # a spent budget still places everything
+    assert collections.Counter({x: sum(f.count(x) * t for f, t in done) for x in many}) == collections.Counter(many)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     stages = dict(cp.STAGES)
