@@ -7,7 +7,7 @@ likelihood; the sentence scores then locate the offending sentences.
 
 Sentences end at ``.``, ``!``, ``?`` or a line feed; words are runs of lower-cased letters, digits
 and non-ASCII characters.  Only features of at least ``MIN_DOCS`` documents of the sample
-that are associated with the label have a weight.  The fit reads a bounded sample (``labelled.MAX_FIT`` documents) in one task; the
+have a weight, shrunk smoothly by its evidence and by L2.  The fit reads a bounded sample (``labelled.MAX_FIT`` documents) in one task; the
 model has ``DIMS`` weights and is broadcast; scoring is a map over the whole texts.
 
 Edge cases: null and empty texts, or texts without a word, are one empty sentence;
@@ -32,7 +32,8 @@ from retainlab.llm.textwords import ALNUM_SPLIT, U, byte_table, column, mix, ngr
 BITS = 18
 DIMS = 1 << BITS
 MIN_DOCS = 5
-MIN_Z = 4.0
+HALF = 12.0      # deviance at which a weight is halved
+POWER = 4
 EPOCHS = 15
 RATE = 0.5
 DECAY = 1e-4     # L2
@@ -72,16 +73,20 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def associated(y: np.ndarray, bags: list[dict[str, np.ndarray]]) -> np.ndarray:
-    """Features of at least MIN_DOCS documents whose log odds ratio with the label is MIN_Z errors from 0."""
+def shrinkage(y: np.ndarray, bags: list[dict[str, np.ndarray]]) -> np.ndarray:
+    """Scale of each feature's weight, below 1; 0 only under MIN_DOCS documents.
+
+    It grows smoothly with the deviance of the feature's documents from the share of toxic ones (the likelihood ratio
+    holds for few documents too), so a word of five toxic documents and no clean one is hardly shrunk.
+    """
     seen = np.zeros((2, DIMS))
     for label, b in zip(y, bags):
         seen[label, np.unique(b["f"])] += 1
-    total = np.array([[(y == 0).sum()], [(y == 1).sum()]])
-    with_it, without = seen + 0.5, total - seen + 0.5
-    odds = np.log(with_it / without)
-    error = np.sqrt((1 / with_it + 1 / without).sum(axis=0))
-    return (seen.sum(axis=0) >= MIN_DOCS) & (np.abs(odds[1] - odds[0]) >= MIN_Z * error)
+    n, share = seen.sum(axis=0), np.array([[(y == 0).mean()], [(y == 1).mean()]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviance = 2 * np.where(seen > 0, seen * np.log(seen / (n * share)), 0.0).sum(axis=0)
+    power = np.maximum(deviance, 0.0) ** POWER
+    return np.where(n >= MIN_DOCS, power / (power + HALF ** POWER), 0.0)
 
 
 def fit_bags(y: np.ndarray, bags: list[dict[str, np.ndarray]]) -> np.ndarray:
@@ -89,28 +94,30 @@ def fit_bags(y: np.ndarray, bags: list[dict[str, np.ndarray]]) -> np.ndarray:
     if len(set(y.tolist())) < 2:
         prior = ((y == 1).sum() + 1) / (len(y) + 2)
         return np.concatenate([np.zeros(DIMS), [np.log(prior / (1 - prior))]])
-    known = associated(y, bags)
+    scale = shrinkage(y, bags)
     rows = []
     for b in bags:
-        mine = known[b["f"]]
+        mine = scale[b["f"]] > 0
         rows.append((b["f"][mine], b["row"][mine], len(b["doc"])))
-    w, square = np.zeros(DIMS), np.full(DIMS, 1e-2)
+    # steps are taken on u, the weight is u times its scale
+    u, square = np.zeros(DIMS), np.full(DIMS, 1e-2)
     bias, bias_square = START_BIAS, 1e-2
     rng = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
             f, row, n = rows[i]
-            p = sigmoid(np.bincount(row, w[f], n) + bias)
+            s = scale[f]
+            p = sigmoid(np.bincount(row, s * u[f], n) + bias)
             miss = np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
             # d log-likelihood / d z: -p for a clean document, p (1 - P) / P for a toxic one
             d = -p if y[i] == 0 else p * (miss / max(1 - miss, 1e-9))
-            g = d[row] - DECAY * w[f]
+            g = s * d[row] - DECAY * u[f]
             np.add.at(square, f, g * g)
-            np.add.at(w, f, RATE * g / np.sqrt(square[f]))
+            np.add.at(u, f, RATE * g / np.sqrt(square[f]))
             gb = d.sum()
             bias_square += gb * gb
             bias += 0.1 * gb / np.sqrt(bias_square)
-    return np.concatenate([w, [bias]])
+    return np.concatenate([scale * u, [bias]])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_fit: int = MAX_FIT) -> np.ndarray:

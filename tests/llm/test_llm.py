@@ -139,6 +139,29 @@ def test_toxicity_locates_the_sentence(spark):
     assert sum(rows[k - 1][1].encode()[out[k].worst_start:out[k].worst_end] == b"you vile fool" for k in range(1, 400, 2)) > 180
 
 
+def test_toxicity_of_rare_words():
+    import numpy as np
+
+    from retainlab.llm import op3_toxicity_mil as op
+
+    def bag(k, word):
+        raw = np.frombuffer(f"{words_of(k, 20)}. you {word} {words_of(k + 9, 5)}. {words_of(k + 5000, 20)}.".encode(), np.uint8)
+        return op.sentences(raw, np.array([0, len(raw)]))
+
+    seen = {"vile": 5, "nasty": 8, "foul": 12, "rotten": 40}
+    toxic = [bag(100 * i + k, w) for i, (w, n) in enumerate(seen.items()) for k in range(n)]
+    clean = [bag(1000 + k, f"good{k % 40}") for k in range(800)]
+    weights = op.fit_bags(np.array([1] * len(toxic) + [0] * len(clean)), toxic + clean)
+
+    def flagged(b):
+        p = op.sigmoid(np.bincount(b["row"], weights[b["f"]], len(b["doc"])) + weights[-1])
+        return op.noisy_or(p, b["doc"], 1)[0] >= 0.5
+
+    for word in seen:  # on documents that the fit has not seen
+        assert sum(flagged(bag(3000 + k, word)) for k in range(20)) >= 18, word
+    assert sum(flagged(bag(3000 + k, f"good{k % 40}")) for k in range(200)) <= 2
+
+
 def test_language_id(spark, empty):
     from retainlab.llm import op4_language_id as op
     sf = "/root/testdata/sf0.01"
