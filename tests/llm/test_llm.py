@@ -294,6 +294,17 @@ def test_pii_spans(spark, docs, empty):
     assert all(set(op_base) <= {s for s in r.spans.split(",")} for r in all_in for op_base in [[]])
 
 
+def test_pii_learns_forms_beyond_the_base_rules(spark):
+    from retainlab.llm import op8_pii as op
+    rows = [(k, f"{words_of(k, 6)} mail to u{k}.x@host{k % 90}.example.org or {k % 250}.1.2.{k % 9} now {words_of(k + 3, 4)}") for k in range(400)]
+    model = op.train(spark.createDataFrame(rows, "_id long, _text string"))
+    odd = [(1, "you can reach bob.x (at) mail dot org today", "email:14:37"), (2, "host 2001:0db8:85a3:0001:0002:8a2e:0370:7334 is up", "ip:5:44"),
+           (3, "on 2024-03-17 10:45 and order 48213907345 we met", ""), (4, None, ""), (5, "write to a@b.com", "email:9:16")]
+    own = spark.createDataFrame([(i, t) for i, t, _ in odd], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in op.report(op.find_spans(own, model=model)).collect()}
+    assert got == {i: w for i, _, w in odd}
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
