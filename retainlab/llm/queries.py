@@ -17,6 +17,9 @@ from retainlab.llm import op7_decontaminate as op7
 from retainlab.llm import op8_pii as op8
 from retainlab.llm import op9_quality_nbsvm as op9
 from retainlab.llm import op10_bestfit_pack as op10
+from retainlab.llm import op11_spelling_variants as op11
+from retainlab.llm import op12_fill_in_middle as op12
+from retainlab.llm import op13_simhash_neardup as op13
 from retainlab.llm import sql
 from retainlab.llm.runtime import table
 
@@ -85,3 +88,18 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_bestfit_pack")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.pack(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_spelling_variants")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.grouped(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_fill_in_middle", sql.OP12)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.digest(op12.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@_query("op13_simhash_neardup")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.digest(op13.near_duplicates(table(spark, sf_dir, "documents")))

@@ -69,3 +69,20 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
 def fold_of(col: str, parts: int):
     """crc32 of the id as text modulo ``parts``; a null id has remainder null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % parts
+
+
+#: keys that hold more than one row in HOT_SHARE are looked up apart; there are fewer than HOT_SHARE of them
+HOT_SHARE = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined to the one row that ``table`` holds for each ``key``; ``n`` of ``table`` counts the rows of the key.
+
+    A key that holds more than one row in ``HOT_SHARE`` would fill one task of a shuffle; there are fewer than
+    ``HOT_SHARE`` such keys, so their rows of ``table`` are broadcast and the rest is joined by shuffle.
+    """
+    total = table.select(F.sum(n)).scalar()
+    hot = table.where(F.col(n) * HOT_SHARE > total).drop(n)
+    rest = table.where(F.col(n) * HOT_SHARE <= total).drop(n)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
