@@ -208,10 +208,12 @@ def test_fingerprint_is_xxh64_as_spark_has_it(spark):
     assert fingerprint(text.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3])
-def test_links_connect_all_pairs_within_the_radius(spark, radius):
-    """Chains and balls around centres of both parities, the extreme words among them."""
+@pytest.mark.parametrize("radius, hot", [(0, 4096), (1, 4096), (2, 5), (3, 4096), (3, 5)])
+def test_links_connect_all_pairs_within_the_radius(spark, monkeypatch, radius, hot):
+    """Chains and balls around centres of both parities, the extreme words among them; few and many words to a half."""
     from retainlab.llm import op13_simhash_neardup as op
+
+    monkeypatch.setattr(op, "HOT", hot)
     from retainlab.llm.components import components
 
     rng = random.Random(radius)
