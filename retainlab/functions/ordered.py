@@ -184,3 +184,29 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5,
                                                      F.max("v_hi").alias("v_hi"))
     val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.floor("pos"))
     return res.select("column", val.alias("value"), "n")
+
+
+def exact_quantile_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+                         num_buckets: int | None = None) -> DataFrame:
+    """Several exact, linearly interpolated quantiles of each column: ``(column, q, value)``.
+
+    The counted values are ranked once for all quantiles (see :func:`exact_quantiles`).
+    """
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
+    ])).alias("kv")).select("kv.column", "kv.value").where(
+        F.col("value").isNotNull() & ~F.isnan("value"))
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
+    ranked = prefix_sums(counts, "value", ["cnt"], group=["column"], num_buckets=num_buckets)
+    wanted = counts.groupBy("column").agg(F.sum("cnt").alias("n")).select(
+        F.col("column").alias("_c"), "n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).select(
+        "_c", "q", ((F.col("n") - 1) * F.col("q")).alias("pos"))
+    first = F.col("cum_cnt") - F.col("cnt")
+    lo, hi = F.floor("pos"), F.ceil("pos")
+    meets = (F.col("column") == F.col("_c")) & (first <= hi) & (lo < F.col("cum_cnt"))
+    # ``wanted`` has one row per column and quantile
+    picked = ranked.join(F.broadcast(wanted), meets).groupBy("column", "q", "pos").agg(
+        F.min("value").alias("v_lo"), F.max("value").alias("v_hi"))
+    value = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.floor("pos"))
+    return picked.select("column", "q", value.alias("value"))

@@ -1,162 +1,145 @@
-"""Exact k-nearest-neighbour classification (M6 / J4) without a cross join.
-
-The training rows are the model.  Scoring finds, for every query row, the
-``k`` training rows at the smallest Euclidean distance (ties -> smaller id)
-and averages their labels.  No query x train product is materialised:
-
-1. ``P`` pivots (a seeded hash sample of training rows, at most ``max_pivots``
-   vectors -- the only data brought to the driver) cut the space into cells;
-   each training row joins the cell of its nearest pivot, and each cell keeps
-   its size and radius (one row per cell).
-2. For a query ``q`` with pivot distances ``d_c``, the cell upper bounds
-   ``d_c + R_c`` ordered ascending give, once ``k`` rows are covered, a radius
-   ``r`` that holds at least ``k`` training rows; by the triangle inequality a
-   cell can hold a neighbour only if ``d_c - R_c <= r``.  These candidate
-   cells are exact -- nothing is capped or sampled.
-3. Each candidate (query, cell) is paired with the cell's training rows in
-   bounded blocks: cells are split into ``ceil(size / block)`` training chunks
-   and ``ceil(queries / block)`` query chunks by hash, so a cell holding a
-   third of all rows becomes many tasks of at most ~block x block pairs.  A
-   cogrouped pandas function computes the block distances with NumPy and
-   emits only its ``k`` best per query.
-4. A window per query keeps the ``k`` best over all its blocks.
+"""Exact k-nearest-neighbour classification (M6 / J4) in one map pass over the queries.
+
+The training rows are the model: a matrix that is broadcast, so its size is bounded.
+``max_fit`` is the documented bound on labelled rows; a larger training set is
+represented by its ``max_fit`` rows of smallest seeded hash.  Every query row is
+compared with the whole matrix in blocks, inside the task that scans it: nothing is
+shuffled, no pair becomes a row, and a task holds one block of distances and the
+candidates under the running k-th distance.
+
+Neighbours are exact: block distances come from a matrix product and only select
+candidates (with a margin for its rounding); those are measured again from the
+coordinate differences, and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-OUT_SCHEMA = "qid string, tid string, dist double, y double"
+from retainlab.operators.persist import StateWritable
 
+#: most labelled rows of a fitted model (78 doubles a row: about 60 MB to broadcast)
+MAX_FIT = 100_000
+#: training rows compared at once with ``QUERY_BLOCK`` queries
+TRAIN_BLOCK, QUERY_BLOCK = 4096, 256
 
-class KNNClassifier(Estimator):
-    def __init__(self, k: int = 5, id_col: str = "student_id", leaf_size: int = 2048,
-                 max_pivots: int = 256, block: int = 1024, seed: int = 42):
+
+class _KNNParams(Params):
+    k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
+    idCol = Param(Params._dummy(), "idCol", "row id, breaks ties", TypeConverters.toString)
+    maxFit = Param(Params._dummy(), "maxFit", "most labelled rows of the model", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the choice of rows beyond maxFit", TypeConverters.toInt)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(k=5, idCol="student_id", maxFit=MAX_FIT, seed=42)
+
+
+class KNNClassifier(Estimator, _KNNParams):
+    @keyword_only
+    def __init__(self, k: int = 5, idCol: str = "student_id", maxFit: int = MAX_FIT, seed: int = 42):
         super().__init__()
-        self.k, self.id_col, self.leaf_size = k, id_col, leaf_size
-        self.max_pivots, self.block, self.seed = max_pivots, block, seed
+        self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "KNNModel":
-        tr = df.select(F.col(self.id_col).cast("string").alias("tid"),
-                       vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
-        n = tr.count()
-        p = max(1, min(self.max_pivots, math.ceil(n / self.leaf_size)))
-        piv = tr.orderBy(F.md5(F.concat("tid", F.lit(f"#{self.seed}"))), "tid").limit(p) \
-            .select("x").collect()
-        pivots = np.array([r["x"] for r in piv], dtype=float)
-        nearest = _nearest_udf(pivots)
-        assigned = tr.withColumn("a", nearest("x")).select("tid", "x", "y", "a.cell", "a.dist")
-        stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()
-        sizes = np.zeros(len(pivots), dtype=np.int64)
-        radius = np.zeros(len(pivots))
-        for r in stats:
-            sizes[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
-        return KNNModel(self, pivots, sizes, radius, assigned)
-
-
-def _pivot_dist(X: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Euclidean distances batch x pivots via |x|^2 + |p|^2 - 2 x.p (no 3-D temporaries)."""
-    d2 = (X * X).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (X @ pivots.T)
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def _nearest_udf(pivots: np.ndarray):
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())])
-
-    @F.pandas_udf(schema)
-    def nearest(xs: pd.Series) -> pd.DataFrame:
-        if not len(xs):
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype=float)})
-        d = _pivot_dist(np.vstack(xs.to_numpy()), pivots)
-        c = d.argmin(axis=1)
-        return pd.DataFrame({"cell": c.astype("int32"), "dist": d[np.arange(len(c)), c]})
-    return nearest
-
-
-def _candidates_udf(pivots: np.ndarray, sizes: np.ndarray, radius: np.ndarray, k: int):
-    # pad the radius: the bound must hold despite rounding in the distance formula
-    rad = radius * (1 + 1e-9) + 1e-9
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cand(xs: pd.Series) -> pd.Series:
-        if not len(xs):
-            return pd.Series([], dtype=object)
-        d = _pivot_dist(np.vstack(xs.to_numpy()), pivots)
-        ub = d + rad[None, :]
-        order = np.argsort(ub, axis=1, kind="stable")
-        cum = np.cumsum(sizes[order], axis=1)
-        covered = cum >= k
-        hit = covered.argmax(axis=1)
-        r = np.where(covered.any(axis=1), np.take_along_axis(ub, order, 1)[np.arange(len(d)), hit], np.inf)
-        ok = (d - rad[None, :] <= r[:, None]) & (sizes[None, :] > 0)
-        return pd.Series([np.nonzero(row)[0].astype("int32").tolist() for row in ok])
-    return cand
-
-
-def _block_topk(k: int):
-    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"qid": [], "tid": [], "dist": [], "y": []})
-        T_ = np.vstack(t["x"].to_numpy())
-        tid = t["tid"].to_numpy()
-        ty = t["y"].to_numpy()
-        tie = np.argsort(np.argsort(tid, kind="stable"), kind="stable")  # rank of id for tie-break
-        rows = []
-        Q = np.vstack(q["x"].to_numpy())
-        qid = q["qid"].to_numpy()
-        kk = min(k, len(t))
-        for s in range(0, len(Q), 64):
-            diff = Q[s:s + 64, None, :] - T_[None, :, :]
-            d2 = (diff * diff).sum(-1)
-            for i in range(d2.shape[0]):
-                idx = np.lexsort((tie, d2[i]))[:kk]
-                for j in idx:
-                    rows.append((qid[s + i], tid[j], float(d2[i, j]), float(ty[j])))
-        return pd.DataFrame(rows, columns=["qid", "tid", "dist", "y"])
-    return fn
-
-
-class KNNModel(Model):
-    def __init__(self, est: KNNClassifier, pivots, sizes, radius, assigned: DataFrame):
+        g = self.getOrDefault
+        rows = df.select(F.col(g("idCol")).cast("string").alias("tid"), vector_to_array("features").alias("x"),
+                         F.col("label").cast("double").alias("y"))
+        # top-k by hash: each task keeps its best maxFit rows; all rows when there are no more
+        rows = rows.orderBy(F.md5(F.concat("tid", F.lit(f"#{g('seed')}"))), "tid").limit(g("maxFit"))
+        model = KNNModel()
+        model._set(k=g("k"), idCol=g("idCol"), maxFit=g("maxFit"), seed=g("seed"))
+        model._take(rows.toPandas())
+        return model
+
+
+def nearest(Q: np.ndarray, X: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row of X, squared distance) of the ``k`` nearest rows, by query, distance and row number."""
+    qq, xx = (Q * Q).sum(1), (X * X).sum(1)
+    bound = np.full(len(Q), np.inf)
+    best = np.full((len(Q), k), np.inf)  # running k smallest distances
+    margin = 1e-9 * (qq + (xx.max() if len(X) else 0.0) + 1.0)
+    found = []
+    for at in range(0, len(X), TRAIN_BLOCK):
+        d = qq[:, None] + xx[None, at:at + TRAIN_BLOCK] - 2.0 * (Q @ X[at:at + TRAIN_BLOCK].T)
+        low = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+        best = np.sort(np.concatenate([best, low], axis=1), axis=1)[:, :k]
+        bound = best[:, k - 1]
+        i, j = np.nonzero(d <= (bound + margin)[:, None])
+        found.append((i, j + at, d[i, j]))
+    i, j, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
+    keep = d <= (bound + margin)[i]
+    i, j = i[keep], j[keep]
+    diff = Q[i] - X[j]
+    d = (diff * diff).sum(1)
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.searchsorted(i, np.arange(len(Q)))
+    top = np.arange(len(i)) - first[i] < k
+    return i[top], j[top], d[top]
+
+
+class KNNModel(Model, _KNNParams, StateWritable):
+    def __init__(self):
         super().__init__()
-        self.est, self.pivots, self.sizes, self.radius, self.train = est, pivots, sizes, radius, assigned
+        self.ids, self.X, self.y = np.zeros(0, object), np.zeros((0, 0)), np.zeros(0)
+        self._shared = None
+
+    def _take(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("tid", kind="stable")
+        self.ids, self.y = rows["tid"].to_numpy(object), rows["y"].to_numpy(float)
+        self.X = np.vstack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 0))
+        self._shared = None
+
+    def _broadcast(self, spark: SparkSession):
+        if self._shared is None:
+            self._shared = spark.sparkContext.broadcast((self.ids, self.X, self.y))
+        return self._shared
 
     def neighbours(self, df: DataFrame) -> DataFrame:
-        """(qid, tid, dist, y): the k nearest training rows of every query row."""
-        e = self.est
-        q = df.select(F.col(e.id_col).cast("string").alias("qid"), vector_to_array("features").alias("x"))
-        cand = _candidates_udf(self.pivots, self.sizes, self.radius, e.k)
-        qc = q.withColumn("cell", F.explode(cand("x")))
-        qcount = {r["cell"]: r["n"] for r in qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        spark = df.sparkSession
-        info = spark.createDataFrame(
-            [(int(c), max(1, math.ceil(int(self.sizes[c]) / e.block)), max(1, math.ceil(qcount.get(c, 0) / e.block)))
-             for c in range(len(self.sizes))], "cell int, nt int, nq int")
-        # info has one row per pivot (<= max_pivots): broadcast is bounded
-        qs = qc.join(F.broadcast(info), "cell").select(
-            "qid", "x", "cell", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("tchunk"),
-            F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int").alias("qchunk"))
-        ts = self.train.join(F.broadcast(info), "cell").select(
-            "tid", "x", "y", "cell", F.pmod(F.xxhash64("tid"), F.col("nt")).cast("int").alias("tchunk"),
-            F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qchunk"))
-        keys = ["cell", "tchunk", "qchunk"]
-        best = qs.groupBy(*keys).cogroup(ts.groupBy(*keys)).applyInPandas(_block_topk(e.k), OUT_SCHEMA)
-        w = W.partitionBy("qid").orderBy("dist", "tid")
-        return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= e.k).drop("_r")
+        """(qid, tid, dist, y): the k nearest training rows of every query row; dist is squared."""
+        shared, k = self._broadcast(df.sparkSession), self.getOrDefault("k")
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, X, y = shared.value
+            for part in parts:
+                for at in range(0, len(part), QUERY_BLOCK):
+                    own = part.iloc[at:at + QUERY_BLOCK]
+                    i, j, d = nearest(np.vstack(own["x"].to_numpy()), X, k)
+                    yield pd.DataFrame({"qid": own["qid"].to_numpy()[i], "tid": ids[j], "dist": d, "y": y[j]})
+
+        q = df.select(F.col(self.getOrDefault("idCol")).cast("string").alias("qid"), vector_to_array("features").alias("x"))
+        return q.mapInPandas(run, "qid string, tid string, dist double, y double")
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        e = self.est
-        nb = self.neighbours(df)
-        p = nb.groupBy("qid").agg(F.avg("y").alias("_p"))
-        out = df.join(p.withColumnRenamed("qid", e.id_col), e.id_col, "left")
+        shared, k = self._broadcast(df.sparkSession), self.getOrDefault("k")
+
+        @F.pandas_udf("double")
+        def vote(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            _, X, y = shared.value
+            for part in parts:
+                out = np.full(len(part), np.nan)
+                for at in range(0, len(part) if len(X) else 0, QUERY_BLOCK):
+                    i, j, _ = nearest(np.vstack(part.iloc[at:at + QUERY_BLOCK].to_numpy()), X, k)
+                    out[at + np.unique(i)] = np.bincount(i, y[j]) / np.bincount(i)
+                yield pd.Series(out)
+
+        out = df.withColumn("_p", vote(vector_to_array("features")))
         return out.withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p")))) \
             .withColumn("prediction", (F.col("_p") > 0.5).cast("double")).drop("_p")
+
+    def save_state(self, spark: SparkSession, path: str) -> None:
+        rows = pd.DataFrame({"tid": self.ids, "x": list(self.X), "y": self.y})
+        spark.createDataFrame(rows, "tid string, x array<double>, y double").write.parquet(f"{path}/rows")
+
+    def load_state(self, spark: SparkSession, path: str) -> None:
+        self._take(spark.read.parquet(f"{path}/rows").toPandas())

@@ -4,8 +4,8 @@
 * M7 Gaussian naive Bayes: per-class mean / population variance in one
   aggregation; the joint log-likelihood is a column expression.
 * M8 RBF SVM, re-aimed: random Fourier features (Rahimi & Recht, 2007) computed
-  by an Arrow-batched pandas UDF, ``LinearSVC`` on them, Platt scaling of the
-  margin by a one-feature ``LogisticRegression``.
+  by an Arrow-batched pandas UDF, ``LinearSVC`` on them, Platt scaling of
+  cross-fitted margins by a one-feature ``LogisticRegression``.
 * M6 K nearest neighbours: see :mod:`retainlab.operators.knn`.
 
 All models read a ``features`` vector column and a double ``label``; every
@@ -21,17 +21,18 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression, RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LinearSVCModel,
+                                       LogisticRegression, LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retainlab.functions import features as fx
+from retainlab.operators.persist import StateWritable
 
 SEED = 42
 
@@ -79,7 +80,8 @@ def logistic(n_train: int | None = None, C: float = 1.0, penalty: str = "l2") ->
 def random_forest(num_trees: int = 100, max_depth: int = 30, min_leaf: int = 1) -> RandomForestClassifier:
     """M2: 100 trees; unlimited depth is capped at Spark's maximum of 30."""
     return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                  seed=SEED, featuresCol="features", labelCol="label")
+                                  seed=SEED, featuresCol="features", labelCol="label", cacheNodeIds=True,
+                                  checkpointInterval=10, maxMemoryInMB=512)
 
 
 def gradient_boosting() -> GBTClassifier:
@@ -182,11 +184,20 @@ def _rff_udf(W: np.ndarray, b: np.ndarray):
 
 
 class RFFSVM(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """M8: RBF-kernel SVM approximated with random Fourier features + Platt scaling."""
+    """M8: RBF-kernel SVM approximated with random Fourier features, with cross-fitted Platt scaling.
 
-    def __init__(self, n_components: int = 200, C: float = 1.0, seed: int = SEED):
+    The margins that the calibration learns from come from machines that have not seen the
+    row: ``calibration_folds`` of them, each fitted without one fold (a hash of the features).
+    Margins on a machine's own training rows would be too large and the probabilities too sure.
+    """
+
+    def __init__(self, n_components: int = 200, C: float = 1.0, seed: int = SEED, calibration_folds: int = 3):
         super().__init__()
-        self.n_components, self.C, self.seed = n_components, C, seed
+        self.n_components, self.C, self.seed, self.calibration_folds = n_components, C, seed, calibration_folds
+
+    def _svm(self, n: int) -> LinearSVC:
+        return LinearSVC(featuresCol="rff", labelCol="label", regParam=1.0 / (self.C * max(n, 1)),
+                         maxIter=100, tol=1e-3)  # tol: the reference library's SVC default
 
     def _fit(self, df: DataFrame) -> "RFFSVMModel":
         x = vector_to_array("features")
@@ -195,37 +206,57 @@ class RFFSVM(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         st = df.select(F.explode(x).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
         gamma = 1.0 / (d * st) if st > 0 else 1.0
         rng = np.random.default_rng(self.seed)
-        W = rng.normal(0.0, math.sqrt(2 * gamma), size=(self.n_components, d))
-        b = rng.uniform(0, 2 * math.pi, size=self.n_components)
-        model = RFFSVMModel(W, b)
+        model = RFFSVMModel()
+        model.W = rng.normal(0.0, math.sqrt(2 * gamma), size=(self.n_components, d))
+        model.b = rng.uniform(0, 2 * math.pi, size=self.n_components)
         # the solver makes many passes: keep the random features instead of recomputing them
-        z = model._features(df).persist(StorageLevel.MEMORY_AND_DISK)
-        n = z.count()
-        svm = LinearSVC(featuresCol="rff", labelCol="label", regParam=1.0 / (self.C * max(n, 1)),
-                        maxIter=100, tol=1e-3).fit(z)  # tol: the reference library's SVC default
-        margin = svm.transform(z).withColumn("margin", vector_to_array("rawPrediction")[1]) \
-            .drop("prediction", "rawPrediction")
-        platt = LogisticRegression(featuresCol="m", labelCol="label", regParam=0.0).fit(
-            VectorAssembler(inputCols=["margin"], outputCol="m").transform(margin))
-        model.svm, model.platt = svm, platt
-        z.unpersist()
+        part = F.pmod(F.xxhash64(x), F.lit(max(self.calibration_folds, 1))).alias("_part")
+        z = model._features(df).select("rff", "label", part).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = z.count()
+            model.svm = self._svm(n).fit(z)
+            margins = None
+            for k in range(self.calibration_folds):
+                rest = z.where(F.col("_part") != k)
+                # a fold whose rest lacks a class (tiny or one-sided data) is calibrated on the whole machine
+                own = self._svm(n).fit(rest) if rest.select("label").distinct().count() > 1 else model.svm
+                part = _margin(own.transform(z.where(F.col("_part") == k)))
+                margins = part if margins is None else margins.unionByName(part)
+            margins = _margin(model.svm.transform(z)) if margins is None else margins
+            model.platt = LogisticRegression(featuresCol="m", labelCol="label", regParam=0.0).fit(margins)
+        finally:
+            z.unpersist()
         return model
 
 
-class RFFSVMModel(Model):
-    def __init__(self, W: np.ndarray, b: np.ndarray):
+def _margin(scored: DataFrame) -> DataFrame:
+    out = scored.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("prediction", "rawPrediction", "probability")
+    return VectorAssembler(inputCols=["margin"], outputCol="m").transform(out).drop("margin")
+
+
+class RFFSVMModel(Model, StateWritable):
+    def __init__(self):
         super().__init__()
-        self.W, self.b, self.svm, self.platt = W, b, None, None
+        self.W, self.b, self.svm, self.platt = np.zeros((0, 0)), np.zeros(0), None, None
 
     def _features(self, df: DataFrame) -> DataFrame:
         return df.withColumn("rff", array_to_vector(_rff_udf(self.W, self.b)(vector_to_array("features"))))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        z = self.svm.transform(self._features(df)).withColumn("margin", vector_to_array("rawPrediction")[1])
-        z = VectorAssembler(inputCols=["margin"], outputCol="m").transform(
-            z.drop("probability", "prediction"))
-        out = self.platt.transform(z.drop("rawPrediction"))
-        return out.drop("rff", "m", "margin")
+        z = _margin(self.svm.transform(self._features(df)))
+        return self.platt.transform(z).drop("rff", "m", "rawPrediction")
+
+    def save_state(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, w.tolist(), float(o)) for i, (w, o) in enumerate(zip(self.W, self.b))]
+        spark.createDataFrame(rows, "i int, w array<double>, b double").write.parquet(f"{path}/frequencies")
+        self.svm.write().save(f"{path}/svm")
+        self.platt.write().save(f"{path}/platt")
+
+    def load_state(self, spark: SparkSession, path: str) -> None:
+        rows = spark.read.parquet(f"{path}/frequencies").orderBy("i").collect()
+        self.W, self.b = np.array([r["w"] for r in rows]), np.array([r["b"] for r in rows])
+        self.svm = LinearSVCModel.load(f"{path}/svm")
+        self.platt = LogisticRegressionModel.load(f"{path}/platt")
 
 
 # ----------------------------------------------------------------- registry
@@ -249,6 +280,25 @@ def make_estimator(name: str, n_train: int | None = None):
     }[name]()
 
 
+def load_model(name: str, path: str):
+    """The fitted model ``name`` (of ``MODEL_ORDER``) saved at ``path``."""
+    from pyspark.ml import classification as c
+    from retainlab.operators.knn import KNNModel
+
+    kinds = {"Logistic Regression": c.LogisticRegressionModel, "Random Forest": c.RandomForestClassificationModel,
+             "Gradient Boosting": c.GBTClassificationModel, "XGBoost": c.GBTClassificationModel,
+             "Decision Tree": c.DecisionTreeClassificationModel, "K-Nearest Neighbors": KNNModel,
+             "Naive Bayes": GaussianNBModel, "SVM": RFFSVMModel}
+    return kinds[name].load(path)
+
+
+def scorer(model, scratch: Sequence[str] = ("rawPrediction", "probability", "prediction")):
+    """A fitted model as a bulk function that adds its probability of class 1 as ``p``."""
+    def score(df: DataFrame) -> DataFrame:
+        return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop(*scratch)
+    return score
+
+
 def predict(model, df: DataFrame, keep: Sequence[str] = ("student_id", "label")) -> DataFrame:
     """(kept columns, probability of class 1, hard prediction at 0.5)."""
     out = model.transform(df)

@@ -1,17 +1,16 @@
-"""Registered query plans.  Importing ``all_queries`` loads every query module."""
+"""Registered query plans.  ``all_queries`` loads every query module."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("q_scoring", "q_data", "q_prep", "q_metrics", "q_models", "q_explain", "q_explain_models", "q_stream")
+
 
 def all_queries():
     """Return (queries, oracle_sql) after importing every query module."""
-    from retainlab.plans import q_scoring  # noqa: F401
     from retainlab.plans.registry import ORACLE, QUERIES
 
-    for mod in ("q_data", "q_prep", "q_metrics", "q_models", "q_explain", "q_explore", "q_stream"):
-        try:
-            __import__(f"retainlab.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"retainlab.plans.{mod}":
-                raise
+    for mod in MODULES:
+        import_module(f"retainlab.plans.{mod}")
     return dict(QUERIES), dict(ORACLE)

@@ -1,4 +1,4 @@
-"""Training plan: features -> split -> prep -> fit 8 models -> evaluate -> best -> save.
+"""Training plan: features -> split -> prep -> fitted model -> saved bundle (all fits: ``lifecycle``).
 
 The prepared matrix (id, split, fold, label, features vector) is persisted
 once (memory, spilling to disk) and shared by every fit; each Spark ML fit
@@ -9,8 +9,8 @@ fitted before the split; ``'train'`` (default) fits it on training rows only.
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -20,12 +20,12 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retainlab.operators import metrics as mt
 from retainlab.operators import models as md
 from retainlab.operators import prep as pp
 from retainlab.operators import split as sp
 from retainlab.plans.q_prep import CAT, NUM
 from retainlab.session import once, shared_path
+from retainlab.sources.files import path_exists
 from retainlab.sources.fixture import ID, LABEL, memo_plan, students
 
 
@@ -63,41 +63,6 @@ def predictions(p: Prepared, name: str) -> DataFrame:
     return md.predict(fit_model(p, name), p.data, keep=(ID, "split", "label"))
 
 
-def evaluate_model(p: Prepared, name: str, cv: bool = True) -> DataFrame:
-    """E1-E3 for one model: validation metrics + 5-fold CV AUC on the training split."""
-    model = fit_model(p, name)
-    val = md.predict(model, p.data.where(F.col("split") == "val"), keep=(ID, "label"))
-    ev = mt.evaluate(val, "label", "probability", "prediction")
-    if cv:
-        train = p.data.where(F.col("split") == "train")
-
-        def one(k):
-            m = md.make_estimator(name, p.n_train).fit(train.where(F.col("fold") != k))
-            return md.predict(m, train.where(F.col("fold") == k), keep=(ID, "label", "fold"))
-        # the fold fits are independent Spark jobs: submit light ones concurrently; tree
-        # ensembles hold per-node statistics in memory, so they run one at a time
-        heavy = name in ("Random Forest", "Gradient Boosting", "XGBoost")
-        with ThreadPoolExecutor(max_workers=1 if heavy else 5) as pool:
-            folds = list(pool.map(one, range(5)))
-        allf = folds[0]
-        for x in folds[1:]:
-            allf = allf.unionByName(x)
-        c = mt.cv_scores(allf, "label", "probability", "fold").first()
-        ev = ev.withColumn("cv_mean", F.lit(c["cv_mean"])).withColumn("cv_std", F.lit(c["cv_std"]))
-    else:
-        ev = ev.withColumn("cv_mean", F.lit(None).cast("double")).withColumn("cv_std", F.lit(None).cast("double"))
-    return ev.select(F.lit(name).alias("model"), F.lit(md.MODEL_ORDER.index(name)).alias("model_order"),
-                     *mt.METRICS)
-
-
-def train_models(p: Prepared, names=None, cv: bool = True) -> DataFrame:
-    """M1-M8 + E1-E3: one metric row per model (train_models of the reference)."""
-    rows = [evaluate_model(p, n, cv).first() for n in (names or md.MODEL_ORDER)]
-    spark = p.data.sparkSession
-    schema = "model string, model_order int, " + ", ".join(f"{m} double" for m in mt.METRICS)
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
-
-
 LR_GRID_C = [0.001, 0.01, 0.1, 1, 10, 100]
 LR_GRID_PENALTY = ["l1", "l2"]
 
@@ -149,24 +114,44 @@ def scoring_pipeline(p: Prepared, model) -> PipelineModel:
 
 def save_bundle(spark: SparkSession, pipeline: PipelineModel, name: str, metrics: dict,
                 path: str | None = None) -> str:
-    """Save the pipeline and a one-row registry table (model, version, ...)."""
-    path = path or shared_path(spark, f"models/{name.replace(' ', '_')}")
-    pipeline.write().overwrite().save(f"{path}/pipeline")
-    info = [(name, "1.0.0", len(pipeline.stages[1].feature_names()),
+    """Save the pipeline as the model's next version and add its row to the registry table."""
+    path = path or shared_path(spark, f"models/{uuid.uuid4().hex}")
+    version = 1 + (versions(spark, path).where(F.col("model_name") == name).count()
+                   if path_exists(spark, f"{path}/registry") else 0)
+    pipeline.write().save(_bundle(path, name, version))
+    # the registry row comes last: a version without one was not completed and is never read
+    info = [(name, version, f"1.0.{version - 1}", len(pipeline.stages[1].feature_names()),
              time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()), json.dumps(metrics))]
-    spark.createDataFrame(info, "model_name string, model_version string, feature_count int, "
+    spark.createDataFrame(info, "model_name string, version int, model_version string, feature_count int, "
                                 "last_trained string, metrics string") \
-        .write.mode("overwrite").parquet(f"{path}/registry")
+        .write.mode("append").parquet(f"{path}/registry")
     return path
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/registry")
+def _bundle(path: str, name: str, version: int) -> str:
+    return f"{path}/{name.replace(' ', '_')}/v{version}"
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """All saved versions of all models of a registry."""
+    return spark.read.parquet(f"{path}/registry")
+
+
+def load_bundle(spark: SparkSession, path: str, name: str, version: int | None = None) -> tuple[PipelineModel, DataFrame]:
+    """The pipeline of a model's version (the latest if none is named) and its registry row."""
+    rows = versions(spark, path).where(F.col("model_name") == name)
+    found = [r["version"] for r in rows.select("version").collect()]  # one row per saved version
+    if not found or (version is not None and version not in found):
+        raise ValueError(f"no saved version of {name!r}" + (f" {version}" if version is not None else ""))
+    version = max(found) if version is None else version
+    return PipelineModel.load(_bundle(path, name, version)), rows.where(F.col("version") == version)
 
 
 def model_info(spark: SparkSession, path: str, model_name: str | None = None) -> DataFrame:
-    """Registry lookup -> metadata with metrics as long rows."""
-    reg = spark.read.parquet(f"{path}/registry")
+    """Registry lookup -> metadata of the latest version, metrics as long rows."""
+    reg = versions(spark, path)
+    last = reg.groupBy("model_name").agg(F.max("version").alias("version"))
+    reg = reg.join(last, ["model_name", "version"], "left_semi")
     if model_name:
         reg = reg.where(F.col("model_name") == model_name)
     m = F.from_json("metrics", "map<string,double>")

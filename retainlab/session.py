@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions that run on executors travel by value: executors need NumPy, pandas and PyArrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules["retainlab"])
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "retainlab") -> SparkSession:

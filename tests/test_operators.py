@@ -104,7 +104,7 @@ def test_knn_matches_brute_force(spark):
     rows = [(f"id{i:04d}", [float(v) for v in x], float(t)) for i, (x, t) in enumerate(zip(X, y))]
     df = spark.createDataFrame(rows, "student_id string, x array<double>, label double") \
         .withColumn("features", array_to_vector("x"))
-    model = KNNClassifier(k=5, leaf_size=40, block=64).fit(df)
+    model = KNNClassifier(k=5).fit(df)
     got = {r["student_id"]: r["probability"][1] for r in model.transform(df).collect()}
     for i in range(0, len(X), 7):
         d = ((X - X[i]) ** 2).sum(1)
