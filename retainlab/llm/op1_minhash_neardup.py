@@ -45,6 +45,7 @@ from retainlab.llm.textwords import (SPACE_SPLIT, U, column, mix, ngram_hashes,
 SYMBOLS = 4          # symbols of a chunk, one of which may differ
 MISS = 1e-6          # chance that a pair at the threshold is beyond the signature distance
 BLOCK = 1024         # members of a bucket that one task compares with as many others
+PAIR_SLICE = 1 << 14  # pairs that are walked at once
 SET_BLOCK = 256      # members that are confirmed against one least member together
 
 
@@ -178,7 +179,7 @@ def _block_pairs(group: pa.Table, radius: int, num: int, den: int) -> np.ndarray
     across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
     order = np.argsort(n, kind="stable")
     top = np.searchsorted(n[order] * num, n[order] * den, "right")  # sizes within the threshold
-    out = [np.zeros((3, 0), np.int64)]
+    out = [np.zeros((3, 0), np.int16)]  # blocks hold far fewer than 2 ** 15 members
     for i, k in enumerate(order):
         rest = order[i + 1:top[i]]
         rest = rest[(comp[rest] != comp[k]) & ((block[rest] != block[k]) if across else True)]
@@ -186,7 +187,7 @@ def _block_pairs(group: pa.Table, radius: int, num: int, den: int) -> np.ndarray
         d = same.shape[1] - same.sum(axis=1)
         near = d <= radius
         near[near] = _first_bucket(same[near]) == slot
-        out.append(np.stack([np.full(near.sum(), k), rest[near], d[near]]))
+        out.append(np.stack([np.full(near.sum(), k), rest[near], d[near]]).astype(np.int16))
     return np.concatenate(out, axis=1)
 
 
@@ -235,29 +236,37 @@ def whole_sets(texts: pa.ChunkedArray, shingle: int) -> list[np.ndarray]:
 
 
 def _confirmed(group: pa.Table, pairs: np.ndarray, shingle: int, num: int, den: int) -> pa.Table:
-    """The pairs of row numbers that are linked on whole sets, without those connected by earlier ones."""
+    """The pairs of row numbers that are linked on whole sets, without those connected by earlier ones.
+
+    Pairs are walked in slices; those that earlier slices have connected are dropped before the next one.
+    """
     own, cls = whole_sets(group.column("text"), shingle), group.column("cls").to_numpy()
-    top = list(range(len(cls)))
+    top = np.arange(len(cls))
     links = []
-
-    def root(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    for a, b in pairs.T.tolist():
-        p, q = root(a), root(b)
-        if p != q:
-            x, y = own[a], own[b]
-            n = _common(x, y)
-            if n * den >= (len(x) + len(y) - n) * num:
-                top[p] = q
-                links.append((cls[a], cls[b]))
+    for at in range(0, pairs.shape[1], PAIR_SLICE):
+        while (top[top] != top).any():
+            top = top[top]
+        part = pairs[:, at:at + PAIR_SLICE]
+        part = part[:, top[part[0]] != top[part[1]]]
+        for a, b in zip(part[0], part[1]):
+            p, q = _root(top, a), _root(top, b)
+            if p != q:
+                x, y = own[a], own[b]
+                n = _common(x, y)
+                if n * den >= (len(x) + len(y) - n) * num:
+                    top[p] = q
+                    links.append((cls[a], cls[b]))
     cols = np.array(links, np.int64).reshape(-1, 2)
     return pa.table({"a": cols[:, 0], "b": cols[:, 1]})
 
 
+def _root(top: np.ndarray, x: int) -> int:
+    while top[x] != x:
+        top[x] = top[top[x]]
+        x = top[x]
+    return x
+
+
 def with_texts(need: DataFrame, docs: DataFrame, member: DataFrame) -> DataFrame:
     """``need`` with the text of one document of each row's class (cls).
 
