@@ -67,35 +67,39 @@ def windows(benchmark: DataFrame, n: int = N) -> DataFrame:
             .groupBy("h", "n", "words").agg(F.collect_set("item_id").alias("item_ids")))
 
 
-class WindowSet:
-    """Windows by length: sorted hashes, a bit filter in front of them, and the words to verify."""
-
-    def __init__(self, rows: list):
-        self.by_len: dict[int, tuple] = {}
-        for n in sorted({r["n"] for r in rows}):
-            own = sorted((r for r in rows if r["n"] == n), key=lambda r: r["h"] & (1 << 64) - 1)
-            keys = np.array([r["h"] for r in own], np.int64).astype(np.uint64)
-            bits = np.zeros(1 << 22, bool)
-            bits[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.by_len[n] = (keys, bits, [bytes(r["words"]) for r in own], [r["item_ids"] for r in own])
-
-    def occurrences(self, buf: np.ndarray, off: np.ndarray) -> tuple[tuple, list[tuple[int, int, list]]]:
-        """Word table of the slice and its verified occurrences (first word, length, item ids)."""
-        s, e, woff = words(buf, off, ALNUM_SPLIT)
-        h = word_hashes(buf, s, e)
-        found = []
-        for n, (keys, bits, text, items) in self.by_len.items():
-            pos = window_starts(woff, n)
-            if not len(pos):
-                continue
-            g = ngram_hashes(h, n)[pos]
-            maybe = np.flatnonzero(bits[(g & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            for i, p in zip(np.searchsorted(keys, g[maybe]), maybe):
-                while i < len(keys) and keys[i] == g[p]:
-                    if _norm(buf, s, e, int(pos[p]), n) == text[i]:
-                        found.append((int(pos[p]), n, items[i]))
-                    i += 1
-        return (s, e, woff), found
+def window_table(rows: list) -> dict[int, tuple]:
+    """Windows by length: (sorted hashes, bit filter in front of them, words to verify, item ids).
+
+    Plain arrays and lists, so a broadcast of them is read without this package.
+    """
+    by_len: dict[int, tuple] = {}
+    for n in sorted({r["n"] for r in rows}):
+        own = sorted((r for r in rows if r["n"] == n), key=lambda r: r["h"] & (1 << 64) - 1)
+        keys = np.array([r["h"] for r in own], np.int64).astype(np.uint64)
+        bits = np.zeros(1 << 22, bool)
+        bits[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        by_len[n] = (keys, np.packbits(bits), [bytes(r["words"]) for r in own], [list(r["item_ids"]) for r in own])
+    return by_len
+
+
+def occurrences(table: dict[int, tuple], buf: np.ndarray, off: np.ndarray) -> tuple[tuple, list[tuple[int, int, list]]]:
+    """Word table of the slice and the verified occurrences of ``table``'s windows (first word, length, item ids)."""
+    s, e, woff = words(buf, off, ALNUM_SPLIT)
+    h = word_hashes(buf, s, e)
+    found = []
+    for n, (keys, bits, text, items) in table.items():
+        pos = window_starts(woff, n)
+        if not len(pos):
+            continue
+        g = ngram_hashes(h, n)[pos]
+        low = (g & np.uint64((1 << 22) - 1)).astype(np.int64)
+        maybe = np.flatnonzero(bits[low >> 3] >> (7 - (low & 7)) & 1)
+        for i, p in zip(np.searchsorted(keys, g[maybe]), maybe):
+            while i < len(keys) and keys[i] == g[p]:
+                if _norm(buf, s, e, int(pos[p]), n) == text[i]:
+                    found.append((int(pos[p]), n, items[i]))
+                i += 1
+    return (s, e, woff), found
 
 
 def _shards(benchmark: DataFrame, n: int, max_broadcast: int) -> Iterator:
@@ -105,7 +109,7 @@ def _shards(benchmark: DataFrame, n: int, max_broadcast: int) -> Iterator:
     size = w.agg(F.sum(F.octet_length("words") + 64 + 32 * F.size("item_ids"))).first()[0] or 0
     parts = max(1, -(-int(size) // max_broadcast))
     for k in range(parts):  # each shard is bounded: at most max_broadcast bytes in expectation
-        yield sc.broadcast(WindowSet(w.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k).collect()))
+        yield sc.broadcast(window_table(w.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k).collect()))
 
 
 def _scan_shard(docs: DataFrame, shared) -> DataFrame:
@@ -114,7 +118,7 @@ def _scan_shard(docs: DataFrame, shared) -> DataFrame:
         table = shared.value
         for batch in batches:
             for first, last, buf, off in slices(column(batch, "text")):
-                (s, _, woff), found = table.occurrences(buf, off)
+                (s, _, woff), found = occurrences(table, buf, off)
                 hit: list[list[int]] = [[] for _ in range(last - first)]
                 items: list[set] = [set() for _ in range(last - first)]
                 for p, n, ids in found:
@@ -173,12 +177,12 @@ def _has_word(text: str) -> bool:
     return bool(ALNUM_SPLIT[LOWER[np.frombuffer(text.encode(), np.uint8)]].any())
 
 
-def clean_text(table: WindowSet, text: str) -> str:
+def clean_text(table: dict[int, tuple], text: str) -> str:
     """Cut the hits until none is left."""
     while True:
         raw = text.encode()
         buf = np.frombuffer(raw, np.uint8)
-        (s, e, _), found = table.occurrences(buf, np.array([0, len(buf)]))
+        (s, e, _), found = occurrences(table, buf, np.array([0, len(buf)]))
         if not found:
             return text
         hit = np.zeros(len(s), bool)
@@ -205,7 +209,7 @@ def _remove_at_once(docs: DataFrame, shared) -> DataFrame:
             at = batch.schema.get_field_index("text")
             texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
             for first, _, buf, off in slices(batch.column(at)):
-                (_, _, woff), found = table.occurrences(buf, off)
+                (_, _, woff), found = occurrences(table, buf, off)
                 for k in {int(np.searchsorted(woff, p, "right")) - 1 for p, _, _ in found}:
                     texts[first + k] = clean_text(table, texts[first + k])
                     keep[first + k] = _has_word(texts[first + k])
@@ -222,7 +226,7 @@ def _hits_of_shard(texts: DataFrame, shared) -> DataFrame:
         table = shared.value
         for batch in batches:
             for first, last, buf, off in slices(column(batch, "text")):
-                (_, _, woff), found = table.occurrences(buf, off)
+                (_, _, woff), found = occurrences(table, buf, off)
                 hit: dict[int, set] = {}
                 for p, n, _ in found:
                     k = int(np.searchsorted(woff, p, "right")) - 1
