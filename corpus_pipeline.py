@@ -5,7 +5,7 @@ shared checkpoint folder and read again as the next stage's input, so a lost exe
 costs at most one stage.  Every stage but the last returns the columns of its input.
 
 Edge cases: null texts count as empty everywhere; empty tables pass through; extra columns
-are carried along; rows repeated exactly are one document after the near-dedup stage;
+are carried along; rows of equal id and text are one document after the near-dedup stage;
 ``n_chars``, if there, follows the text that a stage has changed.
 """
 
@@ -48,13 +48,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each near-duplicate group (5 words, similarity 0.8)."""
+    """Keep one document of each near-duplicate group (5 words, similarity 0.8): that of the smallest id.
+
+    Rows of equal id and text are one document; if their other columns differ, the row whose other columns
+    have the smallest SHA-256 (as JSON) stays.
+    """
     key, other, text_key = _free(docs, "_key"), _free(docs, "_id"), _free(docs, "_t")
     kept = (neardup.near_duplicates(docs, shingle=5, num=80, den=100).where("kept")
             .select(F.col("doc_id").alias(other), F.col("text_key").alias(text_key)).distinct())
     keyed = docs.withColumn(key, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(key) == F.col(text_key))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.sha2(F.to_json(F.struct(*rest, F.lit(1).alias(key))).cast("binary"), 256)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = (keyed.join(kept, same, "left_semi").groupBy(F.col("doc_id").alias("id"), F.col(key).alias("key"))
+           .agg(F.min_by(row, order).alias("row")))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
