@@ -138,7 +138,7 @@ class KNNModel(Model, _KNNParams, StateWritable):
             .withColumn("prediction", (F.col("_p") > 0.5).cast("double")).drop("_p")
 
     def save_state(self, spark: SparkSession, path: str) -> None:
-        rows = pd.DataFrame({"tid": self.ids, "x": list(self.X), "y": self.y})
+        rows = list(zip(self.ids.tolist(), self.X.tolist(), self.y.tolist()))
         spark.createDataFrame(rows, "tid string, x array<double>, y double").write.parquet(f"{path}/rows")
 
     def load_state(self, spark: SparkSession, path: str) -> None:

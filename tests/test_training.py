@@ -16,7 +16,7 @@ def points(spark):
     y = (X[:, 0] - 0.8 * X[:, 1] + 0.5 * X[:, 2] + 0.6 * rng.normal(size=len(X)) > 0).astype(float)
     rows = [(f"s{i:04d}", [float(v) for v in x], float(t), i % 3) for i, (x, t) in enumerate(zip(X, y))]
     df = spark.createDataFrame(rows, "student_id string, x array<double>, label double, part int")
-    return df.select("student_id", "label", "part", array_to_vector("x").alias("features")).cache()
+    return df.select("student_id", "label", "part", array_to_vector("x").alias("features")).coalesce(1).cache()
 
 
 @pytest.mark.parametrize("name", md.MODEL_ORDER)
