@@ -21,6 +21,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ CAPACITY = 2048
 END_ID = 0
 CACHE_PIECES = 400_000   # entries of a worker's word cache; it is emptied when full
 MAX_NODES = 20_000       # fillings and branches looked at in the search over whole packings
+#: frames of the search that are kept open; older ones are drawn again when the search comes back to them
+LIVE_FRAMES = 64
 RANK_BUCKETS = 64        # hash buckets of a length
 
 
@@ -290,19 +293,33 @@ def search(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NODES) -> t
         for x, n in _fill_counts(filling).items():
             count[x] -= n * times
 
-    frames = [branches(set())] if size(best) > bound else []
+    def reopened(out: frozenset, done: int) -> Iterator[tuple[list[int], int, set]]:
+        """The branches behind the first ``done``, which are drawn again without charge."""
+        spent, budget[0] = budget[0], 1 << 60
+        again = branches(set(out))
+        for _ in itertools.islice(again, done):
+            pass
+        budget[0] = spent
+        return again
+
+    # a frame is [open branches or None, sets left out when it was made, branches taken]; only the last LIVE_FRAMES
+    # stay open, as an open one holds its table of reachable sums
+    frames: list[list] = [[branches(set()), frozenset(), 0]] if size(best) > bound else []
     while frames and size(best) > bound:
         if len(path) == len(frames):  # back from a branch
             filling, times = path.pop()
             move(filling, -times)
             used -= times
-        got = next(frames[-1], None) if budget[0] >= 0 else None
+        if budget[0] >= 0 and frames[-1][0] is None:
+            frames[-1][0] = reopened(*frames[-1][1:])
+        got = next(frames[-1][0], None) if budget[0] >= 0 else None
         budget[0] -= 1
         if budget[0] < 0:
             break
         if got is None:
             frames.pop()
             continue
+        frames[-1][2] += 1
         filling, times, out = got
         path.append((filling, times))
         move(filling, times)
@@ -311,7 +328,9 @@ def search(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NODES) -> t
             if used < size(best):
                 best = list(path)
         elif used + lower_bound(count, capacity) < size(best):
-            frames.append(branches(out))
+            frames.append([branches(out), frozenset(out), 0])
+            if len(frames) > LIVE_FRAMES:
+                frames[-LIVE_FRAMES - 1][0] = None
     return best, bound, size(best) <= bound or budget[0] >= 0
 
 
