@@ -160,4 +160,5 @@ def score(docs: DataFrame, weights: np.ndarray, flag: float = 0.5) -> DataFrame:
     src = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"))
     out = src.mapInArrow(run, "doc_id long, score double, predicted int, n_sentences long, n_offending long, worst_start long, "
                               "worst_end long, worst_score double")
-    return out.withColumn("held_out", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)))
+    held_out = F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, *out.columns[1:])
