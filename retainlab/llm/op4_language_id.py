@@ -12,7 +12,7 @@ Evidence for each of the languages of the training documents:
 The last three come from grouped aggregations of the text posteriors over all pages; a
 page's own share is taken out again before its evidence is read (leave one out).
 
-Languages are two-letter codes (``[a-z]{2}`` after lower-casing and cutting at ``-`` or ``_``), so the
+Languages are codes of two or three letters (``[a-z]{2,3}`` after lower-casing and cutting at ``-`` or ``_``), so the
 broadcast text model has at most 676 * DIMS weights.
 
 Edge cases: null or empty html has no text evidence; a missing declaration, host or suffix
@@ -40,12 +40,33 @@ TEMPER = 0.2
 SHRINK = 5.0
 SMOOTH = 0.5
 
-_DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
+_OPEN = re.compile(r"<(?:(script|style)\b|!--)?|&[#\w]+;", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->"), "": re.compile(">")}
 
 
 def visible(html: str | None) -> str:
-    """Text between the tags, without scripts, styles and comments."""
-    return _DROP.sub(" ", html or "")
+    """Text between the tags, without scripts, styles and comments.
+
+    One pass from left to right: an end that is not found once is not looked for again, so unclosed markup stays linear.
+    An unclosed script, style or comment is an ordinary tag; a ``<`` without a ``>`` behind it is text.
+    """
+    text, out, at, pos, gone = html or "", [], 0, 0, set()
+    while m := _OPEN.search(text, pos):
+        end = m.end() if text[m.start()] == "&" else -1
+        if end < 0:
+            kind = "!--" if m[0].endswith("--") else (m[1] or "").lower()
+            for k, start in ((kind, m.end()), ("", m.start() + 1)):
+                found = None if k in gone else _CLOSE[k].search(text, start)
+                if found:
+                    end = found.end()
+                    break
+                gone.add(k)
+        if end < 0:
+            pos = m.start() + 1
+        else:
+            out += [text[at:m.start()], " "]
+            at = pos = end
+    return "".join([*out, text[at:]])
 
 
 def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +82,7 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def code(col):
-    c = F.regexp_extract(F.lower(F.col(col).cast("string")), r"^\s*([a-z]{2})(?:[-_].*)?\s*$", 1)
+    c = F.regexp_extract(F.lower(F.col(col).cast("string")), r"^\s*([a-z]{2,3})(?:[-_].*)?\s*$", 1)
     return F.when(c != "", c)
 
 
@@ -86,8 +107,9 @@ def train_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in rows})
     n = np.full((len(langs), DIMS), SMOOTH)
+    at = {lang: i for i, lang in enumerate(langs)}
     for r in rows:
-        n[langs.index(r["lang"]), r["gram"]] += r["n"]
+        n[at[r["lang"]], r["gram"]] += r["n"]
     return langs, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -113,7 +135,7 @@ def text_evidence(pages: DataFrame, langs: list[str], logp: np.ndarray) -> DataF
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col("`url`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     head = F.col("`html`").cast("string")
-    attr = F.regexp_extract(head, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2})(?![A-Za-z])", 1)
+    attr = F.regexp_extract(head, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", 1)
     src = pages.select(F.col("`page_id`").cast("long").alias("page_id"), F.lower(F.coalesce(attr, F.lit(""))).alias("declared"), host.alias("host"),
                        F.regexp_extract(host, r"([^.]*\.[^.]*)$", 1).alias("domain"), F.regexp_extract(host, r"\.([^.]*)$", 1).alias("suffix"),
                        F.col("`html`").alias("html"))

@@ -110,3 +110,36 @@ def test_confirmation_does_not_depend_on_the_slice(monkeypatch):
     want = parts(op._confirmed(group, pairs, 3, 85, 100))
     monkeypatch.setattr(op, "PAIR_SLICE", 7)
     assert parts(op._confirmed(group, pairs, 3, 85, 100)) == want and len(want) < 40
+
+
+def test_visible_text_is_linear_and_equal_to_the_pattern():
+    """The single pass equals the plain pattern on random markup, and unclosed markup takes no quadratic time."""
+    import random
+    import re
+    import time
+
+    from retainlab.llm.op4_language_id import visible
+
+    plain = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
+    rng = random.Random(6)
+    parts = ["<script>", "<SCRIPT x>", "</script >", "<style", "</Style>", "<!--", "-->", "<p>", "<", ">", "&amp;", "&", "a;", "text ", "<!-->", "scripted"]
+    for _ in range(3000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert visible(html) == plain.sub(" ", html), html
+    for unclosed in ("<script ", "<!-- ", "< ", "<style>", "&amp"):
+        began = time.time()
+        visible(unclosed * 100_000)
+        assert time.time() - began < 5
+
+
+def test_three_letter_languages_are_learned(spark):
+    from retainlab.llm import op4_language_id as op
+
+    docs = spark.createDataFrame([(i, "kumusta ang mundo ngayong araw na ito " * 5, "fil") for i in range(20)]
+                                 + [(100 + i, "the weather is fine in the morning today " * 5, "en-GB") for i in range(20)],
+                                 "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(1, "http://a.ph/x", '<html lang="fil"><p>ang mundo ngayong araw na ito</p></html>'),
+                                   (2, "http://b.uk/x", "<html lang='en-gb'><p>the weather is fine today</p></html>")],
+                                  "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in op.identify(pages, docs).collect()}
+    assert (got[1]["lang"], got[1]["declared"]) == ("fil", "fil") and (got[2]["lang"], got[2]["declared"]) == ("en", "en")
