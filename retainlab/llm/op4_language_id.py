@@ -13,7 +13,7 @@ The last three come from grouped aggregations of the text posteriors over all pa
 page's own share is taken out again before its evidence is read (leave one out).
 
 Languages are codes of two or three letters (``[a-z]{2,3}`` after lower-casing and cutting at ``-`` or ``_``), so the
-broadcast text model has at most 676 * DIMS weights.
+broadcast text model has DIMS weights (64 KB) for each code found; more than ``MAX_LANGS`` codes are an error.
 
 Edge cases: null or empty html has no text evidence; a missing declaration, host or suffix
 counts as a value of its own; ties go to the first code; without training languages lang
@@ -39,6 +39,8 @@ DIMS = 1 << BITS
 TEMPER = 0.2
 SHRINK = 5.0
 SMOOTH = 0.5
+#: most language codes of the broadcast text model (64 MB)
+MAX_LANGS = 1000
 
 _OPEN = re.compile(r"<(?:(script|style)\b|!--)?|&[#\w]+;", re.I)
 _CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->"), "": re.compile(">")}
@@ -104,7 +106,11 @@ def train_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                                              names=["lang", "gram", "n"])
 
     src = docs.select(code("`lang`").alias("lang"), F.col("`text`").alias("text")).where("lang IS NOT NULL")
-    rows = src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    counts = cut(src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    found = counts.select("lang").distinct().count()
+    if found > MAX_LANGS:
+        raise ValueError(f"{found} language codes, at most {MAX_LANGS}")
+    rows = counts.collect()  # at most MAX_LANGS * DIMS
     langs = sorted({r["lang"] for r in rows})
     n = np.full((len(langs), DIMS), SMOOTH)
     at = {lang: i for i, lang in enumerate(langs)}
