@@ -129,6 +129,27 @@ def test_classifiers_on_held_out(spark, docs, empty, name, label, least):
     assert {round(r.score, 6) for r in op.score(docs.where("length(text) < 4"), none).collect()} == {0.5}
 
 
+def test_training_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from retainlab.llm import labelled
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    hot = kept[0]
+    rows = [(i, words_of(i)) for i in range(60)] + [(hot, words_of(hot))] * 3000 + [(hot, words_of(500 + k)) for k in range(20)]
+    rows += [(kept[1], "x" * 3000), (kept[2], None), (None, "no id")]
+    labels = [(i, i % 2) for i in range(60)] + [(hot, 1), (None, 1), (kept[3], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    sample = lambda **bound: labelled.training_sample(docs, marks, "quality", **bound).collect()
+    monkeypatch.setattr(labelled, "MAX_TEXT_BYTES", 2000)
+    whole = sample()
+    assert len(whole) == len({r._o for r in whole}) == len(kept) and {r.text for r in whole} <= {t or "" for _, t in rows}
+    assert not any(len(r.text) > 2000 for r in whole) and sorted(whole) == sorted(sample())
+    size = {r._o: len(r.text.encode()) for r in whole}
+    part = sample(max_bytes=sum(size.values()) // 2)
+    assert 0 < len(part) < len(whole) and sum(len(r.text.encode()) for r in part) <= sum(size.values()) // 2
+    assert {r._o for r in part} == set(sorted(size)[:len(part)])  # the first ones by the hash of the id
+    assert len(sample(max_fit=7)) == 7
+
+
 def test_toxicity_locates_the_sentence(spark):
     from retainlab.llm import op3_toxicity_mil as op
     rows = [(k, f"{words_of(k, 20)}. " + ("you vile fool. " if k % 2 else "what a day. ") + words_of(k + 500, 20) + ".") for k in range(1, 400)]
