@@ -3,8 +3,11 @@
 ``document_rules`` measures every whole text in one map pass and marks the rows that fail
 a rule.  ``host_verdicts`` counts rows and failures by host (partial sums before the
 shuffle), fits a beta prior to the host rates by the method of moments and takes the
-posterior mean as the host's rate.  ``apply_hosts`` joins the verdicts back: a document
-is kept if it passes the rules and its host's rate is at most ``MAX_RATE``.
+posterior mean as the host's rate.  A host is refused if that rate is above ``MAX_RATE``, or if
+it is an outlier: the posterior probability that its rate exceeds the average host's by more
+than ``MARGIN`` is at least 95 % (normal approximation: mean - ``Z`` deviations of the beta
+posterior).  A host of few rows is drawn to the average and stays.  ``apply_hosts`` joins the
+verdicts back: a document is kept if it passes the rules and its host is not refused.
 
 Prior: with host rates x_h over H hosts, mean m and population variance v,
 strength a + b = m * (1 - m) / v - 1, kept within [MIN_STRENGTH, MAX_STRENGTH]; no spread
@@ -32,6 +35,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 MAX_RATE = 0.5
+#: a host may fail this much more often than the average host; standard normal quantile of 95 %
+MARGIN, Z = 0.1, 1.645
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
 #: hosts whose verdicts may be broadcast (about 50 bytes each); more are joined by a shuffle
 MAX_BROADCAST_HOSTS = 100_000
@@ -93,8 +98,8 @@ def document_rules(docs: DataFrame, host_col: str = "source") -> DataFrame:
                           | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(rules: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, host_docs, host_failed, host_rate (posterior mean), host_kept."""
+def host_verdicts(rules: DataFrame, max_rate: float = MAX_RATE, margin: float = MARGIN) -> DataFrame:
+    """host, host_docs, host_failed, host_rate (posterior mean), host_floor (its lower bound), host_kept."""
     hosts = rules.where("host IS NOT NULL").groupBy("host").agg(
         F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
@@ -103,7 +108,9 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     raw = m * (1 - m) / v - 1
     strength = F.when(v > 0, F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), raw))).otherwise(MAX_STRENGTH)
     post = (F.col("host_failed") + m * strength) / (F.col("host_docs") + strength)
-    return hosts.withColumn("host_rate", post).withColumn("host_kept", F.col("host_rate") <= max_rate)
+    sd = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_docs") + strength + 1))
+    return (hosts.withColumn("host_rate", post).withColumn("host_floor", F.col("host_rate") - Z * sd)
+            .withColumn("host_kept", (F.col("host_rate") <= max_rate) & (F.col("host_floor") <= m + margin)))
 
 
 def apply_hosts(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -115,6 +122,6 @@ def apply_hosts(rules: DataFrame, verdicts: DataFrame) -> DataFrame:
             .withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))))
 
 
-def host_filter(docs: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+def host_filter(docs: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE, margin: float = MARGIN) -> DataFrame:
     rules = cut(document_rules(docs, host_col))
-    return apply_hosts(rules, cut(host_verdicts(rules, max_rate)))
+    return apply_hosts(rules, cut(host_verdicts(rules, max_rate, margin)))

@@ -38,9 +38,12 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (base_failed) AS host_failed FROM f WHERE source IS NOT NULL GROUP BY source),
 m AS (SELECT avg(host_failed / host_docs) AS m, var_pop(host_failed / host_docs) AS v FROM h),
 k AS (SELECT m, CASE WHEN v > 0 THEN greatest(2.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength FROM m),
-v AS (SELECT source, (host_failed + m * strength) / (host_docs + strength) AS host_rate FROM h, k)
+r AS (SELECT source, host_docs, m, strength, (host_failed + m * strength) / (host_docs + strength) AS host_rate FROM h, k),
+v AS (
+  SELECT source, host_rate, host_rate <= 0.5
+    AND host_rate - 1.645 * sqrt(host_rate * (1 - host_rate) / (host_docs + strength + 1)) <= m + 0.1 AS host_kept FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(host_rate <= 0.5, true) AS kept, round(host_rate, 6) AS host_rate
+  NOT base_failed AND coalesce(host_kept, true) AS kept, round(host_rate, 6) AS host_rate
 FROM f LEFT JOIN v USING (source)
 """
 

@@ -250,6 +250,28 @@ def test_host_rules(spark, docs, empty):
     assert one.n_dup_lines == 1 and one.n_repeat_words == 0
 
 
+def test_host_outlier_decides(spark):
+    from retainlab.llm import op6_host_rules as op
+    bad = " ".join(["spam"] * 40)
+    # 20 hosts of 100 rows fail 3 times, one fails 35 times, one of 4 rows fails twice: too few to tell
+    hosts = {f"h{k}": (100, 3) for k in range(20)} | {"outlier": (100, 35), "small": (4, 2)}
+    rows = [(bad if j < failed else words_of(j), h) for h, (n, failed) in hosts.items() for j in range(n)]
+    docs = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(rows)], "doc_id long, text string, source string")
+    verdicts = {r.host: r for r in op.host_verdicts(op.document_rules(docs)).collect()}
+    rates = [f / n for n, f in hosts.values()]
+    m = sum(rates) / len(rates)
+    v = sum((x - m) ** 2 for x in rates) / len(rates)
+    strength = min(1000.0, max(2.0, m * (1 - m) / v - 1))
+    for h, (n, failed) in hosts.items():
+        post = (failed + m * strength) / (n + strength)
+        floor = post - 1.645 * math.sqrt(post * (1 - post) / (n + strength + 1))
+        assert math.isclose(verdicts[h].host_rate, post) and math.isclose(verdicts[h].host_floor, floor)
+        assert verdicts[h].host_kept == (post <= 0.5 and floor <= m + 0.1) == (h != "outlier")
+    out = op.host_filter(docs).collect()
+    assert sum(not r.kept and not r.base_failed for r in out) == 65  # passed the rules, refused by the host
+    assert all(r.kept for r in op.host_filter(docs, margin=1.0).collect() if not r.base_failed)
+
+
 def test_decontamination(spark, docs, empty):
     from retainlab.llm import op7_decontaminate as op
     item = words_of(77, 14)
