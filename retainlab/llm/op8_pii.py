@@ -6,11 +6,11 @@
    ``@`` or a written-out (at), dotted numbers, and digit groups (as card and as phone).
 3. Boosted trees (Spark ML) score a candidate from format (digits, groups, separators, plus,
    brackets, length, distinct digits) and context (characters beside it, cue words before
-   it).  They are trained on candidates of a bounded sample of documents: base spans, base
+   it).  They are trained on the candidates of all documents: base spans, base
    spans rewritten into forms beyond the base rules, candidates that a cue, form or checksum
    confirms, against dates, identifiers and candidates that fail the check of their kind.
    What nothing tells has no label.  All are aggregated to distinct feature vectors.
-4. On the other half of the sample each kind's threshold is calibrated on the candidates beyond
+4. On the other half of the documents each kind's threshold is calibrated on the candidates beyond
    the base spans: the least score whose candidates are right at least ``PRECISION`` of the time.  A kind that never
    reaches it adds nothing.
 5. Trees and thresholds become one SQL expression, so finding and selecting are a single
@@ -19,7 +19,7 @@
 Positions are code points, end exclusive.  Spark has no find-all with positions, so spans
 follow from the lengths of the matches and of the pieces between them.
 
-Edge cases: null and empty texts have no span; a sample without candidates, or with
+Edge cases: null and empty texts have no span; documents without candidates, or with
 one class only, gives no model and no additions; added spans never overlap base spans or
 better added ones (ties: the earlier, then the kind as listed); repeated rows are treated
 alike; an empty table has no row; extra columns are ignored by ``find_spans`` and kept by
@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from retainlab.llm.runtime import cut
 
 KINDS = ["email", "ip", "card", "phone"]
-#: documents whose candidates train and calibrate the trees
-TRAIN_DOCS = 20_000
 PRECISION = 0.95
 MIN_CALIBRATION = 20
 TREES, DEPTH = 10, 3
@@ -165,16 +163,21 @@ def weak_label() -> Column:
             .when(F.expr("c.kind = 2 OR c.form = 1 OR c.cue = 1"), 1.0))
 
 
-def planted(based: DataFrame) -> DataFrame:
-    """_h, _text, _span: the surroundings of each base span with the span rewritten, or a date or identifier in its place.
+def surroundings() -> Column:
+    """Of every base span: its kind, up to 40 characters before and after it, and itself."""
+    return F.expr("""transform(_base, b -> named_struct('kind', b.kind,
+        'lead', substring(_text, cast(greatest(b.start - 39, 1) AS int), cast(least(b.start, 40) AS int)),
+        'tail', substring(_text, cast(b.end + 1 AS int), 40),
+        'x', substring(_text, cast(b.start + 1 AS int), cast(b.end - b.start AS int))))""")
+
+
+def planted(near: DataFrame) -> DataFrame:
+    """_h, _text, _span: the surroundings (``_near``) of each base span with the span rewritten, or a date or identifier in its place.
 
     Mail is written out, addresses become IPv6, cards are dotted, phone numbers lose the plus.  The kind of what is not personal
     is -1.
     """
-    at = based.select("_h", "_text", F.explode("_base").alias("b")).select(
-        "_h", F.col("b.kind").alias("kind"), F.expr("substring(_text, cast(greatest(b.start - 39, 1) AS int), cast(least(b.start, 40) AS int))").alias("lead"),
-        F.expr("substring(_text, cast(b.end + 1 AS int), 40)").alias("tail"),
-        F.expr("substring(_text, cast(b.start + 1 AS int), cast(b.end - b.start AS int))").alias("x"))
+    at = near.select("_h", F.explode("_near").alias("b")).select("_h", "b.*")
     digits = "lpad(cast(pmod(xxhash64(x, _h), 1000000000000) AS string), 12, '7')"
     day = "date_add(date'1990-01-01', cast(pmod(xxhash64(_h, x), 14000) AS int))"
     forms = f"""array(
@@ -193,20 +196,20 @@ def planted(based: DataFrame) -> DataFrame:
         F.expr("named_struct('kind', f.kind, 'start', length(f.lead), 'end', length(f.lead) + length(f.x))").alias("_span"))
 
 
-def train(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> tuple[str, dict[int, float]] | None:
-    """SQL of the trees' margin over a candidate ``c``, and each kind's least margin; None without two classes."""
-    total = docs.count()
-    share = min(1.0, max_docs / max(total, 1))
-    # a hash of the whole row picks about max_docs documents, the same ones in every run
-    pick = F.pmod(F.xxhash64("_id", "_text", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)
-    # the sample is bounded: its base spans are found once and read by both branches
-    based = cut(base_spans(docs.where(pick).select("_id", "_text")).select(F.xxhash64("_id", "_text", F.lit(2)).alias("_h"), "_text", "_base"))
-    found = candidates(based).select("_h", "_base", F.explode("_cand").alias("c"))
+def train(docs: DataFrame) -> tuple[str, dict[int, float]] | None:
+    """SQL of the trees' margin over a candidate ``c``, and each kind's least margin; None without two classes.
+
+    All documents are read, in one pass that writes their spans, candidates and surroundings and no text.
+    """
+    based = base_spans(docs.select("_id", "_text")).select(F.xxhash64("_id", "_text", F.lit(2)).alias("_h"), "_text", "_base")
+    near = cut(candidates(based).select("_h", "_base", "_cand", surroundings().alias("_near")).where(
+        (F.size("_cand") > 0) | (F.size("_base") > 0)))
+    found = near.select("_h", "_base", F.explode("_cand").alias("c"))
     same = F.expr("exists(_base, b -> b.start = c.start AND b.end = c.end AND b.kind = c.kind)")
     apart = F.expr("NOT exists(_base, b -> b.start < c.end AND c.start < b.end)")
     own = found.select("_h", F.when(same, 1.0).when(apart, weak_label()).alias("label"), (~same).cast("int").alias("beyond"), "c.*")
     # as in ``spans_of``, candidates that touch a base span (of a neighbour, say) are not there to choose from
-    made = candidates(base_spans(planted(based))).select("_h", "_base", "_span", F.explode("_cand").alias("c")).where(
+    made = candidates(base_spans(planted(near))).select("_h", "_base", "_span", F.explode("_cand").alias("c")).where(
         "c.start < _span.end AND _span.start < c.end").where(apart)
     exact = F.expr("c.start = _span.start AND c.end = _span.end AND c.kind = _span.kind")
     drawn = made.select("_h", F.when(F.col("_span.kind") < 0, 0.0).when(exact, 1.0).alias("label"), F.lit(1).alias("beyond"), "c.*")

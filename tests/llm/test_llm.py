@@ -437,3 +437,16 @@ def test_pipeline(spark):
     assert four.columns == src.columns and not any(plain_spans(r.text) for r in four.collect())
     out = cp.run(spark, SF_SMALL)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_pii_trains_on_every_document(spark):
+    """More documents than the former sample of 20,000: each one's spans count."""
+    from retainlab.llm import op8_pii as op
+    seen = []
+    keep, op.cut = op.cut, lambda df: (seen.append(keep(df)), seen[-1])[1]
+    try:
+        op.train(spark.range(22_000).selectExpr("id AS _id", "concat('mail a', id, '@b.org now') AS _text"))
+    finally:
+        op.cut = keep
+    assert seen[0].count() == 22_000
+    assert "_text" not in seen[0].columns
