@@ -112,3 +112,18 @@ def test_registry_keeps_versions(spark, tmp_path):
     assert md.predict(loaded, raw, keep=("student_id",)).exceptAll(md.predict(pipe, raw, keep=("student_id",))).isEmpty()
     with pytest.raises(ValueError):
         tr.load_bundle(spark, path, "K-Nearest Neighbors", 3)
+
+
+def test_knn_keeps_the_rows_of_smallest_hash_before_they_reach_the_driver(spark, points, monkeypatch):
+    import hashlib
+    from retainlab.operators.knn import KNNClassifier
+
+    ids = sorted((r["student_id"] for r in points.select("student_id").collect()),
+                 key=lambda i: hashlib.md5(f"{i}#42".encode()).hexdigest())
+    kind = type(points)
+    ordered, limit = [], kind.limit
+    monkeypatch.setattr(kind, "limit", lambda df, n: (ordered.append(df.count()), limit(df, n))[1])
+    model = KNNClassifier(k=3, maxFit=50).fit(points.repartition(8))
+    assert sorted(model.ids) == sorted(ids[:50])
+    assert ordered[0] < 60  # of 600
+    assert KNNClassifier(k=3).fit(points).X.shape == (600, 6)
