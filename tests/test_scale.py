@@ -64,3 +64,63 @@ def test_the_matrix_is_not_kept_and_folds_come_on_demand(spark):
     got = p.folded.where("fold IS NOT NULL").select("student_id", "fold")
     assert got.exceptAll(folds).isEmpty() and folds.exceptAll(got).isEmpty()
     assert p.folded.count() == p.data.count() and p.folded.where("split = 'train' AND fold IS NULL").isEmpty()
+
+
+def vectors(spark, X):
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.createDataFrame([(f"s{i:03d}", [float(v) for v in x]) for i, x in enumerate(X)], "student_id string, x array<double>")
+    return df.select("student_id", array_to_vector("x").alias("features")).repartition(4).cache()
+
+
+def test_sampled_shapley_scores_only_changes(spark):
+    """Steps at which row and background agree are not scored; every feature still has its row."""
+    from pyspark.ml.functions import vector_to_array
+    from retainlab.operators import shapley as sh
+
+    X = np.zeros((40, 20))
+    X[:, :3] = np.random.default_rng(1).normal(size=(40, 3))
+    seen = []
+
+    def score(df):
+        seen.append(df.count())
+        x = vector_to_array("features")
+        return df.withColumn("p", x[0] * x[1] + x[2] + x[19])
+
+    points = vectors(spark, X)
+    got = sh.sampled_shapley(points, points, score, [f"f{j}" for j in range(20)]).collect()
+    assert len(got) == 800 and seen[1] <= 40 * 4 * 4  # 40 * 4 * 21 with all steps
+    total, base = np.zeros(40), got[0]["base_value"]
+    for r in got:
+        total[int(r["student_id"][1:])] += r["contribution"]
+        assert r["contribution"] == 0 or r["feature"] in ("f0", "f1", "f2")
+        assert r["value"] == X[int(r["student_id"][1:]), int(r["feature"][1:])]
+    assert total + base == pytest.approx(X[:, 0] * X[:, 1] + X[:, 2])
+
+
+def test_linear_importance_is_that_of_the_long_table(spark):
+    from retainlab.operators import explain as ex
+
+    points, names, w = vectors(spark, np.random.default_rng(4).normal(size=(200, 6))), list("fedcba"), [1.0, -2.0, 0.5, 0.0, 0.0, 3.0]
+    args = (points, points.where("student_id < 's050'"), w, 0.3, names)
+    fast = ex.linear_importance(*args, 5)
+    assert "Generate" not in fast._jdf.queryExecution().optimizedPlan().toString()
+    want = ex.global_importance(ex.linear_shap_vector(*args), 5).collect()
+    assert [(r["feature"], pytest.approx(r["importance"])) for r in want] == [tuple(r) for r in fast.collect()]
+    assert ex.linear_importance(points.limit(0), *args[1:]).isEmpty()
+
+
+def test_bins_are_added_up_in_the_tasks(spark, monkeypatch):
+    from retainlab.operators import lime as li
+
+    X = np.column_stack([np.random.default_rng(5).normal(size=500), np.repeat([1.0, 2.0], 250), np.full(500, 0.1)])
+    points = vectors(spark, X)
+    monkeypatch.setattr(li.F, "posexplode", None)  # no row a feature
+    disc = li.Discretiser.fit(points, ["a", "b", "c"])
+    for j, (cuts, stats) in enumerate(zip(disc.cuts, disc.stats)):
+        assert cuts == pytest.approx(sorted(set(np.percentile(X[:, j], [25, 50, 75]))))
+        for k, row in enumerate(stats):
+            v = X[np.searchsorted(cuts, X[:, j]) == k, j]
+            want = (len(v) / 500, v.mean(), v.std(), v.min(), v.max()) if len(v) else (0,) * 5
+            assert row == pytest.approx(want, abs=1e-12)
+    assert disc.stats[2][0][2] == 0.0
