@@ -124,3 +124,60 @@ def test_bins_are_added_up_in_the_tasks(spark, monkeypatch):
             want = (len(v) / 500, v.mean(), v.std(), v.min(), v.max()) if len(v) else (0,) * 5
             assert row == pytest.approx(want, abs=1e-12)
     assert disc.stats[2][0][2] == 0.0
+
+
+def test_later_passes_read_only_open_columns(spark, monkeypatch):
+    """A bin of one value is the answer: a column whose quantiles are known is not read again."""
+    from retainlab.functions import columns as co
+
+    rng = np.random.default_rng(8)
+    X = np.column_stack([rng.integers(0, 9, 900), rng.integers(1000, 30000, 900), 1 + rng.random(900) * 1e-7, np.full(900, 0.1)]).astype(float)
+    X[::5, 1] = np.nan
+    df = spark.createDataFrame([([float(v) for v in x],) for x in X], "x array<double>").repartition(5)
+    read = []
+    for name in ("_bins", "_left"):
+        kind = getattr(co, name)
+        monkeypatch.setattr(co, name, lambda src, d, slots, kind=kind: (read.append(d), kind(src, d, slots))[1])
+    got = co.quantiles(df, F.col("x"), [n for n, _, _ in co.moments(df, F.col("x"), 4)], [0.0, 0.3, 0.5, 1.0])
+    assert read == [4, 2, 1]
+    for j in range(4):
+        assert got[j] == pytest.approx(np.nanpercentile(X[:, j], [0, 30, 50, 100]).tolist(), rel=1e-12, abs=0)
+
+
+@pytest.mark.parametrize("name, other", [("one_hot", "moments"), ("standard_scale", "_category_stats")])
+def test_a_query_fits_only_the_columns_it_returns(spark, monkeypatch, name, other):
+    from retainlab.operators import prep as pp
+    from retainlab.plans import all_queries
+    from retainlab.plans import q_prep as q
+
+    whole = all_queries()[0]["prep_all"](spark, SF_SMALL)
+    monkeypatch.setattr(pp, other, None)
+    got = all_queries()[0][name](spark, SF_SMALL)
+    want = whole.select(got.columns)
+    assert got.columns[1:] == (q.FEATURE_NAMES[len(q.NUM):] if name == "one_hot" else q.NUM)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_dummies_are_not_rounded(spark):
+    from retainlab.plans import all_queries
+    from retainlab.plans.q_prep import NUM
+
+    plan = all_queries()[0]["prep_all"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") <= len(NUM)
+
+
+def test_naive_bayes_reads_the_rows_in_one_map(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from retainlab.operators.models import GaussianNB
+
+    rng = np.random.default_rng(9)
+    X, y = rng.normal(size=(400, 3)) * [1, 5, 0] + [0, 1e6, 0.1], rng.integers(0, 2, 400)
+    rows = [([float(v) for v in x], float(t)) for x, t in zip(X, y)] + [([0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").repartition(4)
+    monkeypatch.setattr(type(df), "groupBy", None)
+    m = GaussianNB().fit(df)
+    eps = 1e-9 * np.vstack([X, np.zeros(3)]).var(axis=0).max()
+    assert m.getOrDefault("priors") == pytest.approx([(y == c).sum() / 401 for c in (0, 1)])
+    for c in (0, 1):
+        assert m.getOrDefault("means")[c] == pytest.approx(X[y == c].mean(axis=0).tolist())
+        assert m.getOrDefault("variances")[c] == pytest.approx((X[y == c].var(axis=0) + eps).tolist(), rel=1e-6)
