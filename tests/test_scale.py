@@ -181,3 +181,14 @@ def test_naive_bayes_reads_the_rows_in_one_map(spark, monkeypatch):
     for c in (0, 1):
         assert m.getOrDefault("means")[c] == pytest.approx(X[y == c].mean(axis=0).tolist())
         assert m.getOrDefault("variances")[c] == pytest.approx((X[y == c].var(axis=0) + eps).tolist(), rel=1e-6)
+
+
+def test_naive_bayes_unpacks_a_row_once(spark):
+    from retainlab.operators.models import GaussianNB
+
+    points = vectors(spark, np.random.default_rng(2).normal(size=(60, 5)))
+    df = points.withColumn("label", (F.substring("student_id", 4, 1).cast("int") % 2).cast("double"))
+    scored = GaussianNB().fit(df).transform(df)
+    plan = scored.select("prediction")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(features") == 1
+    assert scored.columns == [*df.columns, "probability", "prediction"]
