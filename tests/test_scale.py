@@ -192,3 +192,22 @@ def test_naive_bayes_unpacks_a_row_once(spark):
     plan = scored.select("prediction")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("UDF(features") == 1
     assert scored.columns == [*df.columns, "probability", "prediction"]
+
+
+def test_matrix_is_packed_as_one_array(spark):
+    """The vector column holds what the assembler makes of the processed columns, its names too, NaN for a column without a median."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from retainlab.operators import prep as pp
+
+    rows = [(i, float(i % 7) if i % 3 else None, None, ("a", "b", None)[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, x double, none double, c string").repartition(3)
+    model = pp.fit_prep(df, ["x", "none"], ["c"])
+    got = model.transform(df)
+    assert "struct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    names = model.feature_names()
+    want = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(model.processed(df, keep=["i"]))
+    a, b = ({r["i"]: r["v"] for r in t.select("i", vector_to_array("features").alias("v")).collect()} for t in (got, want))
+    assert a.keys() == b.keys() and all(np.array_equal(a[i], b[i], equal_nan=True) for i in a)
+    attrs = got.schema["features"].metadata["ml_attr"]
+    assert attrs["num_attrs"] == len(names) and [x["name"] for x in attrs["attrs"]["numeric"]] == names
