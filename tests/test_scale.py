@@ -211,3 +211,21 @@ def test_matrix_is_packed_as_one_array(spark):
     assert a.keys() == b.keys() and all(np.array_equal(a[i], b[i], equal_nan=True) for i in a)
     attrs = got.schema["features"].metadata["ml_attr"]
     assert attrs["num_attrs"] == len(names) and [x["name"] for x in attrs["attrs"]["numeric"]] == names
+
+
+def test_random_features_come_without_an_object_a_row(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+    from retainlab.operators import models as md
+    from retainlab.operators.models import RFFSVMModel
+
+    seen = []
+    monkeypatch.setattr(md.F, "pandas_udf", lambda *a: seen.append(a) or F.udf(*a))
+    rng = np.random.default_rng(6)
+    X, m = rng.normal(size=(90, 5)), RFFSVMModel()
+    m.W, m.b = rng.normal(size=(30, 5)), rng.uniform(size=30)
+    out = m._features(vectors(spark, X))
+    got = {int(r["student_id"][1:]): r["z"] for r in out.select("student_id", vector_to_array("rff").alias("z")).collect()}
+    want = np.sqrt(2 / 30) * np.cos(X @ m.W.T + m.b)
+    assert np.array([got[i] for i in range(90)]) == pytest.approx(want, abs=1e-12)
+    assert "ArrowEvalPython" in str(out._jdf.queryExecution().executedPlan())
+    assert seen == []
