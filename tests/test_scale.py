@@ -213,6 +213,26 @@ def test_matrix_is_packed_as_one_array(spark):
     assert attrs["num_attrs"] == len(names) and [x["name"] for x in attrs["attrs"]["numeric"]] == names
 
 
+@pytest.mark.parametrize("name", ["Decision Tree", "Random Forest"])
+def test_deep_trees_are_fitted_on_a_partition_a_core(spark, monkeypatch, name):
+    """Every partition sends the statistics of every node: their number must not grow with the input's files."""
+    from retainlab.operators import models as md
+    from retainlab.plans import training as tr
+
+    cores = spark.sparkContext.defaultParallelism
+    p = tr.prepared(spark, SF_SMALL)
+    many = tr.Prepared(p.rows.repartition(3 * cores), p.features, p.prep, p.n_train)
+    seen = []
+
+    class Fit:
+        def fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+
+    monkeypatch.setattr(md, "make_estimator", lambda *_: Fit())
+    tr.fit_model(many, name)
+    assert seen == [(cores, p.n_train)]
+
+
 def test_random_features_come_without_an_object_a_row(spark, monkeypatch):
     from pyspark.ml.functions import vector_to_array
     from retainlab.operators import models as md
