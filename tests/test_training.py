@@ -127,3 +127,40 @@ def test_knn_keeps_the_rows_of_smallest_hash_before_they_reach_the_driver(spark,
     assert sorted(model.ids) == sorted(ids[:50])
     assert ordered[0] < 60  # of 600
     assert KNNClassifier(k=3).fit(points).X.shape == (600, 6)
+
+
+def test_knn_compares_with_every_training_row(spark, points, tmp_path, monkeypatch):
+    """No bound unless asked for: rows beyond those held are read from a table, block by block, with equal results."""
+    from retainlab.operators import knn
+
+    assert knn.KNNClassifier().getOrDefault("maxFit") == 0
+    held = knn.KNNClassifier(k=5).fit(points)
+    monkeypatch.setattr(knn, "HELD", 100)
+    monkeypatch.setattr(knn, "TRAIN_BLOCK", 64)
+    model = knn.KNNClassifier(k=5).fit(points.repartition(5))
+    assert model.table and not len(model.X) and not len(model.ids)
+    model.write().save(str(tmp_path / "m"))
+    again = knn.KNNModel.load(str(tmp_path / "m"))
+    assert again.table == f"{tmp_path}/m/rows"
+    queries = points.repartition(3)
+    for m in (model, again):
+        assert md.predict(m, queries).exceptAll(md.predict(held, queries)).isEmpty()
+        assert m.neighbours(queries).exceptAll(held.neighbours(queries)).isEmpty()
+
+
+@pytest.mark.parametrize("scale", [1e-8, 1.0, 1e9, 1e30])
+def test_bounds_leave_out_no_neighbour(scale, monkeypatch):
+    from retainlab.operators import knn
+
+    monkeypatch.setattr(knn, "TRAIN_BLOCK", 100)
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(1500, 40)) * np.geomspace(1, 1e-4, 40) * scale
+    X[7], X[1200:1230] = np.nan, X[:30]  # a row without values, equal rows
+    X[300] *= 1e6
+    Q = np.concatenate([X[:40] + 1e-9 * scale, X[1200:1230], rng.normal(size=(40, 40)) * scale])
+    Q[7] = np.nan
+    i, j, d = knn.nearest(Q, X, 4)
+    for q in range(len(Q)):
+        dist = ((X - Q[q]) ** 2).sum(1)
+        want = [] if np.isnan(Q[q]).any() else np.lexsort((np.arange(len(X)), dist))[:4].tolist()
+        assert j[i == q].tolist() == want
