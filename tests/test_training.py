@@ -164,3 +164,23 @@ def test_bounds_leave_out_no_neighbour(scale, monkeypatch):
         dist = ((X - Q[q]) ** 2).sum(1)
         want = [] if np.isnan(Q[q]).any() else np.lexsort((np.arange(len(X)), dist))[:4].tolist()
         assert j[i == q].tolist() == want
+
+
+def test_model_info_reloads_the_bundle(spark, monkeypatch):
+    from retainlab.plans import all_queries
+    from retainlab.plans import training as tr
+
+    loaded, load = [], tr.load_bundle
+    monkeypatch.setattr(tr, "load_bundle", lambda *a: loaded.append(load(*a)) or loaded[-1])
+    rows = all_queries()[0]["model_info"](spark, SF_SMALL).collect()
+    assert len(loaded) == 1 and {r["feature_count"] for r in rows} == {len(loaded[0][0].stages[1].feature_names())}
+    assert {r["metric"] for r in rows} == {"accuracy", "precision", "recall", "f1_score", "roc_auc"}
+
+    def other(*a):  # a bundle that does not score like the saved one
+        pipe, row = load(*a)
+        pipe.stages[2] = tr.fit_model(tr.prepared(spark, SF_SMALL), "K-Nearest Neighbors")
+        return pipe, row
+
+    monkeypatch.setattr(tr, "load_bundle", other)
+    with pytest.raises(ValueError):
+        all_queries()[0]["model_info"](spark, SF_SMALL)
