@@ -148,6 +148,15 @@ def test_knn_compares_with_every_training_row(spark, points, tmp_path, monkeypat
         assert m.neighbours(queries).exceptAll(held.neighbours(queries)).isEmpty()
 
 
+def test_knn_queries_of_one_file_use_all_cores(spark, points):
+    from retainlab.operators.knn import KNNClassifier
+
+    model = KNNClassifier(k=3).fit(points)
+    assert points.rdd.getNumPartitions() == 1
+    assert model.transform(points).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert md.predict(model, points.repartition(40)).exceptAll(md.predict(model, points)).isEmpty()
+
+
 @pytest.mark.parametrize("scale", [1e-8, 1.0, 1e9, 1e30])
 def test_bounds_leave_out_no_neighbour(scale, monkeypatch):
     from retainlab.operators import knn
